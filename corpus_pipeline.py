@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gannet.llm import packing, quality_rules, toxicity
+from gannet.llm import near_dedup, packing, quality_rules, toxicity
 from gannet.llm.common import cut, table
 from gannet.llm.queries import tokenizer
 
@@ -19,12 +19,21 @@ def drop_repetitive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return quality_rules.keep(docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("quality_rules", drop_repetitive), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_repetitive),
+    ("near_dedup", drop_near_duplicates),
+    ("packing", pack),
+]
 #: Models and tokenizers aren't SQL; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gannet.llm import packing, quality_rules, toxicity
+from gannet.llm import lm_scoring, near_dedup, packing, quality_rules, toxicity
 from gannet.llm.common import crc_of_id, table
 
 
@@ -20,6 +20,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_of_id("doc_id", 10) == 0
+    scored = lm_scoring.fit_and_score(table(spark, sf_dir, "documents"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -32,5 +42,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op7_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_lm_scoring, op5_minhash_near_dedup, op7_toxicity, op10_quality_rules)}
 ORACLE: dict[str, str] = {}

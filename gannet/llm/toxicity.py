@@ -1,16 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary texts, share the
-lowest order: continuation counts pooled over both classes. So an expression that one class
-never had is rare there, not impossible. A text's evidence is the log-likelihood ratio of the
-two, divided by length: over the whole text and over its worst window. A logistic curve fitted
-on labelled rows that the counts left out turns both into a score.
+Two interpolated Kneser-Ney models of the bytes in a word, one of toxic and one of ordinary
+texts, differ in their longer contexts and share the lower orders: continuation counts pooled
+over both classes. So an expression that one class never had is rare there, not impossible,
+and inflected or compound forms resemble what was learnt. A word's evidence is the difference
+of its two log-likelihoods. A text's evidence is normalised by length: over the whole text, over
+its worst window, and of its worst word. A logistic curve fitted on labelled rows that the
+counts left out turns these into a score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,128 +25,185 @@ from gannet.llm.common import crc_of_id, with_row
 #: At most so many labelled rows of each class are learnt from, the first by a hash of their id.
 MAX_ROWS = 3000
 #: Of these, one in CURVE_PART is left out of the counts and fits the curve.
-CURVE_PART = 4
+CURVE_PART = 3
 WINDOW = 12
 DISCOUNT = 0.75
-_START = np.uint64(0x5BD1E9955BD1E995)
-
-
-def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, W.Words]:
-    """Lower-cased words without punctuation: hash, bigram hash with the word before, and where they stand."""
-    words = W.split(*W.utf8(col), sep=W.SPACE_PUNCT, values=W.LOWER)
-    prev = np.empty_like(words.hash)
-    prev[1:] = words.hash[:-1]
-    first = words.first[:-1][words.counts() > 0]
-    prev[first] = _START
-    return words.hash, prev, words
-
-
-def _pair(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return W.mix(prev * np.uint64(W._P) + word)
+#: Orders in bytes, the byte itself included, at which each class counts for itself; lower ones are shared.
+ORDERS = (6, 7, 8)
+#: Evidence of a word above which it counts as an expression of its own.
+STRONG = 2.0
+FEATURES = 4
+_BLANK = 0x20
+_LOWER_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER_BYTES[65:91] += 32
+
+
+def _tokens(col: pa.Array) -> tuple[np.ndarray, W.Words]:
+    """Bytes of the texts, and their words in lower case without punctuation."""
+    buf, off = W.utf8(col)
+    return buf, W.split(buf, off, sep=W.SPACE_PUNCT, values=W.LOWER)
+
+
+def _padded(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words side by side in lower case, blanks before and one behind; the places to predict, and each place's word."""
+    pad = ORDERS[-1] - 1
+    size = end - start + pad + 1
+    head = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(head[-1], _BLANK, dtype=np.uint8)
+    length = end - start
+    word = np.repeat(np.arange(len(start)), length)
+    inner = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
+    out[head[word] + pad + inner] = _LOWER_BYTES[buf[start[word] + inner]]
+    of = np.repeat(np.arange(len(start)), length + 1)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(length + 1) - (length + 1), length + 1)
+    return out, head[of] + pad + step, of
+
+
+def _grams(text: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order: hashes of the bytes that end at each place, and of these without the last."""
+    last = W.EXACT[text[at]]
+    context = np.zeros(len(at), dtype=np.uint64)
+    scale = np.uint64(1)
+    for k in range(1, ORDERS[-1] + 1):
+        if k > 1:
+            scale = np.uint64(int(scale) * W._P % (1 << 64))
+            context = context + W.EXACT[text[at - k + 1]] * scale
+        yield k, W.mix(context + last * np.uint64(W._P_INVERSE) + np.uint64(k)), W.mix(context + np.uint64(k))
+
+
+def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys) or not len(wanted):
+        return np.zeros(len(wanted), dtype=values.dtype), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    found = keys[at] == wanted
+    return np.where(found, values[at], values.dtype.type(0)), found
 
 
 @dataclass
 class Model:
-    """What scoring looks up; all arrays sorted by their hash."""
-
-    pairs: np.ndarray
-    pair_ratio: np.ndarray  #: log P(word | prev, toxic) - log P(word | prev, ordinary) of the pairs seen
-    words: np.ndarray
-    lower: np.ndarray  #: the same difference of the lower orders, by word
-    lower_new: float  #: of a word never seen
-    contexts: np.ndarray
-    escape: np.ndarray  #: the difference of the two logs of the mass left to the lower order, by previous word
-    escape_new: float
-    curve: np.ndarray = None  #: weights of mean, worst window, and 1
+    """Log-likelihood differences, toxic less ordinary; all keys are sorted hashes."""
+
+    grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  #: of a byte after a context, where either class had both
+    escapes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  #: of what a context leaves to the lower order
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  #: evidence of the words learnt from
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
+
+    def of_words(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        text, at, of = _padded(buf, start, end)
+        todo = np.arange(len(at))
+        sums = np.zeros(len(at))
+        hashes = {k: (g, c) for k, g, c in _grams(text, at) if k >= ORDERS[0]}
+        for k in reversed(ORDERS):
+            value, found = _look(*self.grams[k], hashes[k][0][todo])
+            left, _ = _look(*self.escapes[k], hashes[k][1][todo])
+            sums[todo] += np.where(found, value, left)
+            todo = todo[~found]
+        return np.bincount(of, weights=sums, minlength=len(start))
 
     def evidence(self, col: pa.Array) -> np.ndarray:
-        """Of each text: mean log ratio of its tokens, and that of its worst window. 0, 0 without words."""
-        word, prev, words = _tokens(col)
+        """A row of features for each text; zeros for a text without words."""
+        buf, words = _tokens(col)
+        value, found = _look(self.words, self.known, words.hash)
+        value = value.astype(float)
+        new = np.flatnonzero(~found)
+        if len(new):
+            _, first, where = np.unique(words.hash[new], return_index=True, return_inverse=True)
+            value[new] = self.of_words(buf, words.start[new[first]], words.end[new[first]])[where]
         n = words.counts()
-        ratio, found = _look(self.pairs, self.pair_ratio, _pair(prev, word), 0.0)
-        low, _ = _look(self.words, self.lower, word, self.lower_new)
-        esc, _ = _look(self.contexts, self.escape, prev, self.escape_new)
-        ratio = np.where(found, ratio, low + esc)
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
+        some, begin = n > 0, words.first[:-1]
+        total = np.concatenate([[0.0], np.cumsum(value)])
+        strong = np.concatenate([[0.0], np.cumsum(np.maximum(value - STRONG, 0))])
         ends = np.arange(1, len(total))
-        begins = np.maximum(ends - WINDOW, np.repeat(words.first[:-1], n))
-        window = (total[1:] - total[begins]) / WINDOW
-        worst = np.zeros(len(n))
-        some = n > 0
+        window = (total[1:] - total[np.maximum(ends - WINDOW, np.repeat(begin, n))]) / WINDOW
+        out = np.zeros((len(n), FEATURES))
+        out[:, 0] = (total[words.first[1:]] - total[begin]) / np.maximum(n, 1)
+        out[:, 1] = (strong[words.first[1:]] - strong[begin]) / np.maximum(n, 1)
         if some.any():
-            worst[some] = np.maximum.reduceat(window, words.first[:-1][some])
-        mean = (total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(n, 1)
-        return np.stack([mean, worst], axis=1)
+            out[some, 2] = np.maximum.reduceat(window, begin[some])
+            out[some, 3] = np.maximum.reduceat(value, begin[some])
+        return out
 
     def score(self, col: pa.Array) -> np.ndarray:
-        x = self.evidence(col)
-        z = np.clip(x @ self.curve[:2] + self.curve[2], -500, 500)
+        z = np.clip(self.evidence(col) @ self.curve[:-1] + self.curve[-1], -500, 500)
         return 1 / (1 + np.exp(-z))
 
 
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.full(len(wanted), missing), np.zeros(len(wanted), dtype=bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    found = keys[at] == wanted
-    return np.where(found, values[at], missing), found
-
-
-def train(class_of: np.ndarray, prev: np.ndarray, word: np.ndarray, n: np.ndarray) -> Model:
-    """Fits the two models from counted bigrams (class 1: toxic)."""
-    pair = _pair(prev, word)
-    pairs, first, where = np.unique(pair, return_index=True, return_inverse=True)
-    words, word_at = np.unique(word[first], return_inverse=True)
-    contexts, prev_at = np.unique(prev[first], return_inverse=True)
-    count = np.zeros((2, len(pairs)))
-    np.add.at(count, (class_of, where), n)
-    seen = count > 0
-    # shared: in how many contexts of either class a word stood; one more word stands for all unseen ones
-    shared = np.bincount(word_at, weights=seen.sum(axis=0), minlength=len(words)) + 0.5
-    shared_all = shared.sum() + 0.5
-    lower, lower_new, esc, esc_new, upper = [], [], [], [], []
-    for c in (0, 1):
-        follows = np.bincount(word_at, weights=seen[c], minlength=len(words))
-        total = max(follows.sum(), 1.0)
-        spare = (DISCOUNT * (follows > 0).sum() + (follows.sum() == 0)) / total
-        low = np.maximum(follows - DISCOUNT, 0) / total + spare * shared / shared_all
-        lower.append(np.log(low))
-        lower_new.append(np.log(spare * 0.5 / shared_all))
-        of_prev = np.bincount(prev_at, weights=count[c], minlength=len(contexts))
-        kinds = np.bincount(prev_at, weights=seen[c], minlength=len(contexts))
-        left = np.where(of_prev > 0, DISCOUNT * kinds / np.maximum(of_prev, 1), 1.0)
-        esc.append(np.log(left))
-        esc_new.append(0.0)
-        upper.append(np.log(np.maximum(count[c] - DISCOUNT, 0) / np.maximum(of_prev[prev_at], 1) + left[prev_at] * low[word_at]))
-    f = np.float32
-    return Model(pairs, (upper[1] - upper[0]).astype(f), words, (lower[1] - lower[0]).astype(f), lower_new[1] - lower_new[0], contexts, (esc[1] - esc[0]).astype(f), esc_new[1] - esc_new[0])
+def train(words: pa.Array, count: np.ndarray) -> Model:
+    """Fits both models. words: distinct lower-case words; count: by class (1: toxic) and word."""
+    buf, off = W.utf8(words)
+    model = Model()
+    if not len(words):
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        model.grams = model.escapes = dict.fromkeys(ORDERS, none)
+        return model
+    text, at, of = _padded(buf, off[:-1], off[1:])
+    hashes = {k: (g, c) for k, g, c in _grams(text, at)}
+    top = ORDERS[-1]
+    held = {}  # by order: distinct grams, one place of each, their contexts' number, and each place's gram
+    for k in range(1, top + 1):
+        gram, place, where = np.unique(hashes[k][0], return_index=True, return_inverse=True)
+        context, number = np.unique(hashes[k][1][place], return_inverse=True)
+        held[k] = gram, place, context, number, where
+    seen = np.stack([np.bincount(held[top][4], weights=count[c][of], minlength=len(held[top][0])) for c in (0, 1)])
+    counts = {top: seen}
+    for k in range(top - 1, 0, -1):  # continuation counts: in how many contexts, one byte longer, a gram stands
+        up = held[k][4][held[k + 1][1]]
+        counts[k] = np.stack([np.bincount(up, weights=counts[k + 1][c] > 0, minlength=len(held[k][0])) for c in (0, 1)])
+    shared = None
+    for k in range(1, ORDERS[0]):
+        gram, place, context, number, where = held[k]
+        n = counts[k].sum(axis=0)
+        below = np.full(len(gram), 1 / 256) if shared is None else shared[held[k - 1][4][place]]
+        total, kinds = np.bincount(number, weights=n), np.bincount(number)
+        shared = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds[number] * below) / total[number]
+    lower = [shared, shared]
+    for k in ORDERS:
+        gram, place, context, number, where = held[k]
+        probability, escape = [], []
+        for c in (0, 1):
+            n = counts[k][c]
+            total, kinds = np.bincount(number, weights=n), np.bincount(number, weights=n > 0)
+            left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+            below = lower[c][held[k - 1][4][place]]
+            probability.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[number] + left[number] * below)
+            escape.append(left)
+        lower = probability
+        model.grams[k] = gram, np.log(probability[1] / probability[0]).astype(np.float32)
+        model.escapes[k] = context, np.log(escape[1] / escape[0]).astype(np.float32)
+    value = np.bincount(of, weights=model.grams[top][1][held[top][4]].astype(float), minlength=len(words))
+    key = W.split(buf, off, sep=W.SPACE_PUNCT, values=W.LOWER).hash
+    order = np.argsort(key)
+    model.words, model.known = key[order], value[order].astype(np.float32)
+    return model
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps with a small ridge, weights in x's own units."""
     if not len(y) or y.min() == y.max():
         base = (y.sum() + 0.5) / (len(y) + 1)
-        return np.array([0.0, 0.0, np.log(base / (1 - base))])
+        return np.array([0.0] * FEATURES + [np.log(base / (1 - base))])
     mid, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - mid) / scale, np.ones(len(x))])
-    w = np.zeros(3)
-    ridge = np.diag([1e-2, 1e-2, 1e-6]) * len(y)
+    w = np.zeros(FEATURES + 1)
+    ridge = np.diag([1e-3] * FEATURES + [1e-6]) * len(y)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    slope = w[:2] / scale
-    return np.array([*slope, w[2] - slope @ mid])
+    slope = w[:-1] / scale
+    return np.array([*slope, w[-1] - slope @ mid])
 
 
 def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in W.batches(source, "text"):
-        word, prev, words = _tokens(batch.column(1))
+        buf, words = _tokens(batch.column(1))
         label = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), words.counts())
-        _, first, n = np.unique(_pair(prev, word) + label.astype(np.uint64), return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(label[first], pa.int32()), pa.array(prev[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n, pa.int64())], ["toxic", "prev", "word", "n"])
+        _, first, n = np.unique(W.mix(words.hash + label.astype(np.uint64)), return_index=True, return_counts=True)
+        text = [_LOWER_BYTES[buf[s:e]].tobytes() for s, e in zip(words.start[first], words.end[first], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(label[first], pa.int32()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["toxic", "word", "n"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", hold_out: int = 5, max_rows: int = MAX_ROWS) -> Model:
@@ -162,20 +221,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     picked = picked.withColumn("curve", F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(CURVE_PART)) == 0)
     # at most 2 * max_rows rows of three small columns: safe to broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
-    counted = rows.where("not curve").select("toxic", "text").mapInArrow(_count, "toxic int, prev long, word long, n long").groupBy("toxic", "prev", "word").agg(F.sum("n").alias("n")).toArrow()
-    col = lambda name: counted[name].combine_chunks().to_numpy(zero_copy_only=False)
-    model = train(col("toxic").astype(np.int64), col("prev").view(np.uint64), col("word").view(np.uint64), col("n"))
+    counted = rows.where("not curve").select("toxic", "text").mapInArrow(_count, "toxic int, word string, n long").groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)]).toArrow()
+    model = train(counted["word"].combine_chunks(), np.stack([counted[f"n{c}"].combine_chunks().to_numpy() for c in (0, 1)]).astype(float))
     del counted
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.batches(source, "text"):
             x = sent.value.evidence(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "mean", "worst"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(FEATURES)]], ["toxic", *[f"x{k}" for k in range(FEATURES)]])
 
-    left = rows.where("curve").select("toxic", "text").mapInArrow(weigh, "toxic int, mean double, worst double").toArrow().to_pandas()
+    names = [f"x{k}" for k in range(FEATURES)]
+    left = rows.where("curve").select("toxic", "text").mapInArrow(weigh, "toxic int, " + ", ".join(f"{x} double" for x in names)).toArrow().to_pandas()
     sent.destroy()
-    model.curve = fit_curve(left[["mean", "worst"]].to_numpy(), left["toxic"].to_numpy().astype(float))
+    model.curve = fit_curve(left[names].to_numpy(), left["toxic"].to_numpy().astype(float))
     return model
 
 
