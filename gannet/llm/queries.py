@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gannet.llm import chat_format, embedding_dedup, lm_scoring, near_dedup, packing, quality_rules, toxicity
+from gannet.llm import chat_format, embedding_dedup, html_text, license_scan, lm_scoring, near_dedup, packing, quality_rules, toxicity
 from gannet.llm.common import crc_of_id, table
 
 
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_of_id("doc_id", 10) == 0
     scored = lm_scoring.fit_and_score(table(spark, sf_dir, "documents"), held_out)
@@ -57,11 +61,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc_of_id("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars"
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_lm_scoring, op4_embedding_near_dedup, op5_minhash_near_dedup, op6_chat_formatting, op7_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scans, op3_lm_scoring, op4_embedding_near_dedup, op5_minhash_near_dedup, op6_chat_formatting, op7_toxicity, op8_html_extraction, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
