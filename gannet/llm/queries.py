@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gannet.llm import chat_format, embedding_dedup, html_text, license_scan, lm_scoring, near_dedup, packing, quality_rules, toxicity
+from gannet.llm import chat_format, embedding_dedup, html_text, license_scan, lm_scoring, near_dedup, packing, quality_rules, sentencepiece_fst, toxicity
 from gannet.llm.common import crc_of_id, table
 
 
@@ -65,11 +65,18 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    coded = sentencepiece_fst.encode(table(spark, sf_dir, "documents"), model, carry=["doc_id", "text"]).withColumnRenamed("text", "whole")
+    back = sentencepiece_fst.decode(coded, model, carry=["doc_id", "whole", "ids"])
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.md5("text").alias("decoded_md5"), (F.col("text") == F.col("whole")).alias("same"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars"
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scans, op3_lm_scoring, op4_embedding_near_dedup, op5_minhash_near_dedup, op6_chat_formatting, op7_toxicity, op8_html_extraction, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scans, op3_lm_scoring, op4_embedding_near_dedup, op5_minhash_near_dedup, op6_chat_formatting, op7_toxicity, op8_html_extraction, op9_sentencepiece, op10_quality_rules)}
 ORACLE: dict[str, str] = {}

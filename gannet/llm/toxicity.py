@@ -138,40 +138,45 @@ def train(words: pa.Array, count: np.ndarray) -> Model:
         model.grams = model.escapes = dict.fromkeys(ORDERS, none)
         return model
     text, at, of = _padded(buf, off[:-1], off[1:])
-    hashes = {k: (g, c) for k, g, c in _grams(text, at)}
     top = ORDERS[-1]
-    held = {}  # by order: distinct grams, one place of each, their contexts' number, and each place's gram
-    for k in range(1, top + 1):
-        gram, place, where = np.unique(hashes[k][0], return_index=True, return_inverse=True)
-        context, number = np.unique(hashes[k][1][place], return_inverse=True)
-        held[k] = gram, place, context, number, where
-    seen = np.stack([np.bincount(held[top][4], weights=count[c][of], minlength=len(held[top][0])) for c in (0, 1)])
-    counts = {top: seen}
-    for k in range(top - 1, 0, -1):  # continuation counts: in how many contexts, one byte longer, a gram stands
-        up = held[k][4][held[k + 1][1]]
-        counts[k] = np.stack([np.bincount(up, weights=counts[k + 1][c] > 0, minlength=len(held[k][0])) for c in (0, 1)])
+    gram = next(g for k, g, _ in _grams(text, at) if k == top)
+    gram, place, where = np.unique(gram, return_index=True, return_inverse=True)
+    where, of = where.astype(np.int32), of.astype(np.int32)
+    counts = {top: np.stack([np.bincount(where, weights=count[c][of], minlength=len(gram)) for c in (0, 1)])}
+    at = at[place]  # a place of each distinct longest gram: the shorter ones end there too
+    grams, number, suffix = {}, {}, {}
+    before = None
+    for k, g, c in _grams(text, at):
+        grams[k], place, inverse = np.unique(g, return_index=True, return_inverse=True)
+        contexts, number[k] = np.unique(c[place], return_inverse=True)
+        number[k] = number[k].astype(np.int32)
+        if k > 1:
+            suffix[k] = before[place]  # the gram of one byte less in front
+        if k in ORDERS:
+            model.escapes[k] = contexts, None
+        before = inverse.astype(np.int32)
+    del before, inverse, place, g, c, contexts
+    for k in range(top, 1, -1):  # continuation counts: in how many contexts, one byte longer, a gram stands
+        counts[k - 1] = np.stack([np.bincount(suffix[k], weights=counts[k][c] > 0, minlength=len(grams[k - 1])) for c in (0, 1)])
     shared = None
     for k in range(1, ORDERS[0]):
-        gram, place, context, number, where = held[k]
-        n = counts[k].sum(axis=0)
-        below = np.full(len(gram), 1 / 256) if shared is None else shared[held[k - 1][4][place]]
-        total, kinds = np.bincount(number, weights=n), np.bincount(number)
-        shared = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds[number] * below) / total[number]
+        n, own = counts[k].sum(axis=0), number[k]
+        below = np.full(len(n), 1 / 256) if shared is None else shared[suffix[k]]
+        total, kinds = np.bincount(own, weights=n), np.bincount(own)
+        shared = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds[own] * below) / total[own]
     lower = [shared, shared]
     for k in ORDERS:
-        gram, place, context, number, where = held[k]
         probability, escape = [], []
         for c in (0, 1):
-            n = counts[k][c]
-            total, kinds = np.bincount(number, weights=n), np.bincount(number, weights=n > 0)
+            n, own = counts[k][c], number[k]
+            total, kinds = np.bincount(own, weights=n), np.bincount(own, weights=n > 0)
             left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            below = lower[c][held[k - 1][4][place]]
-            probability.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[number] + left[number] * below)
+            probability.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[own] + left[own] * lower[c][suffix[k]])
             escape.append(left)
         lower = probability
-        model.grams[k] = gram, np.log(probability[1] / probability[0]).astype(np.float32)
-        model.escapes[k] = context, np.log(escape[1] / escape[0]).astype(np.float32)
-    value = np.bincount(of, weights=model.grams[top][1][held[top][4]].astype(float), minlength=len(words))
+        model.grams[k] = grams[k], np.log(probability[1] / probability[0]).astype(np.float32)
+        model.escapes[k] = model.escapes[k][0], np.log(escape[1] / escape[0]).astype(np.float32)
+    value = np.bincount(of, weights=model.grams[top][1][where], minlength=len(words))
     key = W.split(buf, off, sep=W.SPACE_PUNCT, values=W.LOWER).hash
     order = np.argsort(key)
     model.words, model.known = key[order], value[order].astype(np.float32)
