@@ -41,7 +41,7 @@ def format_size(size: Column) -> Column:
     """IEC units with one decimal, from the exact value."""
     out = F.concat(size.cast("string"), F.lit("B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        scaled = F.format_number(size / float(1024**k), "0.0")
+        scaled = F.call_function("format_number", size / float(1024**k), F.lit("0.0"))
         out = F.when(size >= 1024**k, F.concat(scaled, F.lit(unit))).otherwise(out)
     return out
 
