@@ -54,12 +54,20 @@ def shingles(w: Column) -> Column:
 
 def bands(h: Column) -> Column:
     """For each band the least hash of the shingles, hashed anew by the band's number."""
-    return F.array(*[F.array_min(F.transform(h, lambda x, b=b: F.xxhash64(x, F.lit(b)))) for b in range(BANDS)])
+    return F.array(*[F.array_min(F.transform(h, _hash(b))) for b in range(BANDS)])
+
+
+def _hash(b: int):
+    return lambda x: F.xxhash64(x, F.lit(b))
 
 
 def _least(h: Column) -> Column:
     """The shingles that are least under some band."""
-    by = [F.array_min(F.transform(h, lambda x, b=b: F.struct(F.xxhash64(x, F.lit(b)).alias("m"), x.alias("x"))))["x"] for b in range(BANDS)]
+
+    def pair(b: int):
+        return lambda x: F.struct(_hash(b)(x).alias("m"), x.alias("x"))
+
+    by = [F.array_min(F.transform(h, pair(b)))["x"] for b in range(BANDS)]
     return F.array_distinct(F.array(*by))
 
 
