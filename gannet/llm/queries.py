@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gannet.llm import chat_format, embedding_dedup, html_text, license_scan, lm_scoring, near_dedup, packing, quality_rules, sentencepiece_fst, toxicity
 from gannet.llm.common import crc_of_id, table
+from gannet.llm.oracle import ORACLE
 
 
 def tokenizer(name: str) -> str:
@@ -78,5 +79,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scans, op3_lm_scoring, op4_embedding_near_dedup, op5_minhash_near_dedup, op6_chat_formatting, op7_toxicity, op8_html_extraction, op9_sentencepiece, op10_quality_rules)}
-ORACLE: dict[str, str] = {}
