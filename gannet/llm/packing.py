@@ -151,11 +151,15 @@ class _Memory(dict):
         ids = self.old.get(key)
         if ids is None:
             ids = self.learn(key)
+        self.trim()
+        self[key] = ids
+        return ids
+
+    def trim(self) -> None:
+        """Starts a new generation if this one is full."""
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        self[key] = ids
-        return ids
 
 
 class Encoder:

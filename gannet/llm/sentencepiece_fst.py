@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -131,18 +133,26 @@ class Transducer:
 
     def path(self, text: str) -> list[str]:
         """The pieces, or characters without one, on the shortest path of a normalised text."""
-        last = (self._least_merged if self.merging else self._least)(text)
-        out, n = [], len(text)
+        return self._back(self._least_merged(text, [""], 0) if self.merging else self._least(text))
+
+    @staticmethod
+    def _back(last: list[str]) -> list[str]:
+        out, n = [], len(last) - 1
         while n:
             out.append(last[n])
             n -= len(last[n])
-        return out[::-1]
-
-    def _least_merged(self, text: str) -> list[str]:
-        """The last piece on the shortest path to each place. Only one path there has a finite weight, so the first found is it."""
-        ids, pairs, lengths, n = self.ids, self.pairs, self.lengths, len(text)
-        last = [""] * (n + 1)
-        for end in range(1, n + 1):
+        out.reverse()
+        return out
+
+    def _least_merged(self, text: str, last: list[str], done: int) -> list[str]:
+        """The last piece on the shortest path to each place, given those up to `done`.
+
+        Only one path to a place has a finite weight, so the first found is it; and it depends on
+        the characters before alone, so texts with a common start share what they begin with.
+        """
+        ids, pairs, lengths = self.ids, self.pairs, self.lengths
+        last = last[: done + 1]
+        for end in range(done + 1, len(text) + 1):
             for length in lengths.get(text[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
                 begin = end - length
                 if begin < 0:
@@ -154,7 +164,7 @@ class Transducer:
                         free = pairs.get(key)
                         if not (self._pair(key) if free is None else free):
                             continue
-                    last[end] = piece
+                    last.append(piece)
                     break
         return last
 
@@ -171,9 +181,38 @@ class Transducer:
         return last
 
     def _learn(self, text: str) -> bytes:
+        return self._ids(self.path(text))
+
+    def learn_all(self, stretches: Iterable[str]) -> None:
+        """Learns stretches behind a mark in order, so that each goes on where it parts from the one before."""
+        old, tails = self.tails.old, self.tails
+        new = []
+        for x in stretches:
+            if x in old:
+                tails[x] = old[x]
+            elif x not in tails:
+                new.append(x)
+        if not self.merging:
+            return
+        before, last = "", [""]
+        for x in sorted(new):
+            text = MARK + x
+            done, most = 0, min(len(before), len(text))
+            while done < most and before[done] == text[done]:
+                done += 1
+            before, last = text, self._least_merged(text, last, done)
+            tails[x] = self._ids(self._back(last))
+
+    def _ids(self, path: list[str]) -> bytes:
+        get = self.ids.get
+        known = array("I", [get(piece, 0xFFFFFFFF) for piece in path])
+        if 0xFFFFFFFF not in known:
+            if sys.byteorder == "big":
+                known.byteswap()
+            return known.tobytes()
         ids: list[int] = []
         before = False
-        for piece in self.path(text):
+        for piece in path:
             i = self.ids.get(piece)
             if i is None:
                 raw = piece.encode()
@@ -205,6 +244,13 @@ class Transducer:
             return np.frombuffer(b"".join(map(self.heads.__getitem__, parts)), dtype="<u4")
         return np.frombuffer(b"".join(map(self.tails.__getitem__, whole[1:].split(MARK))), dtype="<u4")
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
+        """The ids of each text, as bytes; null for null."""
+        if self.cuts and self.bytes:
+            self.tails.trim()
+            self.learn_all({part for x in texts if x for part in self.normalise(x)[1:].split(MARK)})
+        return [None if x is None else self.encode(x).tobytes() for x in texts]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids. Bytes that aren't UTF-8 become replacement characters."""
         text = b"".join(map(self.out.__getitem__, ids)).decode(errors="replace")
@@ -235,8 +281,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", carry: list[str
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = transducer(model_path)
-        for batch in batches(source, "text", 1 << 20):
-            ids = [None if x is None else coder.encode(x).tobytes() for x in batch.column(1).to_pylist()]
+        for batch in batches(source, "text", 1 << 22):
+            ids = coder.encode_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["row", "ids"])
 
     return rows.mapInArrow(run, with_row(rows, "ids binary")).select("row.*", "ids")
