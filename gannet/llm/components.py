@@ -2,23 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gannet.llm.common import cut
 
+#: Distinct edges, 16 bytes each, up to which one task joins them all; beyond it rounds of shuffles do.
+TASK_EDGES = 2_000_000
+
+
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges a-b in order, and the smallest node each can reach."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (label[x], label[y], x, y):
+            np.minimum.at(new, end, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _at_once(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in source if x.num_rows]
+    if parts:
+        node, label = least_labels(*[np.concatenate(p) for p in zip(*parts, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], ["id", "component"])
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id that can be reached) of every id in edges (columns a and b, long).
 
-    Alternates the large-star and small-star steps until nothing changes, each round written
-    out, so no node's neighbours are gathered anywhere: a node meets its smallest neighbour by
-    a partial minimum and a join that Spark can split where one node has many edges. Edges with
-    a null end are ignored, loops give a component of one.
+    Up to TASK_EDGES distinct edges are joined in one task. More are joined by large-star and
+    small-star steps in turn until nothing changes, each round written out; no node's neighbours
+    are gathered anywhere then: a node meets its smallest neighbour by a partial minimum and a
+    join that Spark can split where one node has many edges. Edges with a null end are ignored,
+    loops give a component of one.
     """
     known = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     loops = known.where("hi = lo").select("hi", "lo")
-    now = cut(known.where("hi != lo").distinct())
+    now = cut(known.distinct())
+    if now.count() <= TASK_EDGES:
+        return cut(now.coalesce(1).mapInArrow(_at_once, "id long, component long"))
+    now = now.where("hi != lo")
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

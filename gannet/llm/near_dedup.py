@@ -26,8 +26,9 @@ from gannet.llm.common import cut
 from gannet.llm.components import connected
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: A pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 24, 3 in a million.
-BANDS, ROWS = 24, 4
+#: A pair at 0.8 shares no band with probability (1 - 0.8 ** 6) ** 40, 5 in a million; one at 0.2 shares
+#: one with 0.3 %, so documents with a passage in common seldom meet.
+BANDS, ROWS = 40, 6
 #: Ids that may be broadcast to pick texts; beyond it they are joined by a shuffle. 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -129,8 +130,9 @@ def _sign(weighting: str):
                 band = W.mix(band * np.uint64(W._P) + sig[:, r::ROWS])
             print_of = _fingerprints(words)
             empty = words.counts() == 0
+            size = np.bincount(doc, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(print_of[:, k].view(np.int64), mask=empty) for k in (0, 1)], _lists(band.ravel(), np.arange(0, band.size + 1, BANDS))], ["id", "f0", "f1", "bands"]
+                [batch.column(0), *[pa.array(print_of[:, k].view(np.int64), mask=empty) for k in (0, 1)], pa.array(size, pa.int64()), _lists(band.ravel(), np.arange(0, band.size + 1, BANDS))], ["id", "f0", "f1", "size", "bands"]
             )
 
     return run
@@ -157,6 +159,18 @@ def _similarity(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFram
     return cut(pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")))
 
 
+def _across(placed: DataFrame, mixed: DataFrame, known: DataFrame, found: DataFrame, reach: float) -> DataFrame:
+    """Pairs of one bucket but different components, none the leader, that neither their distances to the leader nor their sizes rule out."""
+    rest = placed.join(mixed, ["band", "value"]).where("id != leader").join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far")), ["id", "leader"])
+    lead = found.select(F.col("id").alias("leader"), F.col("component").alias("lead"))
+    rest = cut(rest.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader")))
+    cell = F.floor(F.col("far") / reach).cast("int")
+    left = rest.where("component != lead").select("band", "value", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("far").alias("fa"), F.col("size").alias("na"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    right = rest.select("band", "value", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("far").alias("fb"), F.col("size").alias("nb"), cell.alias("cell"))
+    across = left.join(right, ["band", "value", "cell"]).where((F.col("ca") != F.col("cb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach + 1e-9) & (F.least("na", "nb") >= (1 - reach) * F.greatest("na", "nb")))
+    return cut(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """One row for each id: doc_id, class_id (the smallest id of its class), kept (it is that id), n_rows.
 
@@ -168,13 +182,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     of its own, with a null class, kept. Other columns are left out, so names can't clash.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = cut(docs.mapInArrow(_sign(weighting), "id long, f0 long, f1 long, bands array<long>"))
+    signed = cut(docs.mapInArrow(_sign(weighting), "id long, f0 long, f1 long, size long, bands array<long>"))
     full = signed.where("id is not null and f0 is not null")
-    texts = cut(full.groupBy("f0", "f1").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
+    texts = cut(full.groupBy("f0", "f1").agg(F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
     copies = cut(full.select("f0", "f1", F.col("id").alias("a")).join(texts.select("f0", "f1", F.col("id").alias("b")), ["f0", "f1"]).where("a != b").select("a", "b").distinct())
 
     # one bucket for each band and value; buckets of one text are dropped
-    entries = texts.select("id", F.posexplode("bands").alias("band", "value"))
+    entries = texts.select("id", "size", F.posexplode("bands").alias("band", "value"))
     buckets = cut(entries.groupBy("band", "value").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
     members = cut(entries.join(buckets, ["band", "value"]))
     led = members.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
@@ -184,20 +198,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
 
     # buckets that still hold several components: compare across these
     of = F.coalesce("component", "id")
-    placed = members.join(found, "id", "left").select("band", "value", "id", "leader", of.alias("component"))
+    placed = members.join(found, "id", "left").select("band", "value", "id", "size", "leader", of.alias("component"))
     mixed = cut(placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "value"))
-    rest = placed.join(mixed, ["band", "value"]).where("id != leader").join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far")), ["id", "leader"])
-    lead = found.select(F.col("id").alias("leader"), F.col("component").alias("lead"))
-    rest = cut(rest.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader")))
-    reach = 1 - similarity
-    cell = F.floor(F.col("far") / reach).cast("int")
-    left = rest.where("component != lead").select("band", "value", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("far").alias("fa"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = rest.select("band", "value", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("far").alias("fb"), cell.alias("cell"))
-    across = left.join(right, ["band", "value", "cell"]).where((F.col("ca") != F.col("cb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach + 1e-9))
-    across = cut(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if not across.isEmpty():
-        more = _similarity(docs, texts, across).where(F.col("similarity") >= similarity).select("a", "b")
-        if not more.isEmpty():
+    if not mixed.isEmpty():
+        across = _across(placed, mixed, known, found, 1 - similarity)
+        more = None if across.isEmpty() else _similarity(docs, texts, across).where(F.col("similarity") >= similarity).select("a", "b")
+        if more is not None and not more.isEmpty():
             found = connected(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
     ids = signed.where("id is not null").groupBy("id").agg(F.count("*").alias("n_rows"))
