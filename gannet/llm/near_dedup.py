@@ -7,9 +7,9 @@ on a coordinate with a probability equal to their weighted Jaccard similarity, a
 needs only as many darts as its signature, not shingles times coordinates.
 
 Documents that agree on a band meet in a bucket. In a bucket all are compared with one leader;
-then documents that this left in different components are compared with each other, unless
-their distances to the leader, by the triangle inequality, rule a link out. All comparisons
-take the exact Jaccard similarity of the shingle sets.
+then documents that this left in different components are compared with each other in blocks,
+unless their distances to the leader, by the triangle inequality, rule a link out. All
+comparisons take the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gannet.llm import words as W
 from gannet.llm.common import cut
-from gannet.llm.components import connected
+from gannet.llm.components import connected, least_labels
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares no band with probability (1 - 0.8 ** 6) ** 40, 5 in a million; one at 0.2 shares
@@ -31,6 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 #: Ids that may be broadcast to pick texts; beyond it they are joined by a shuffle. 8 bytes each.
 BROADCAST_IDS = 1_000_000
+#: Texts of a bucket that are compared at once with as many others.
+BLOCK = 512
 
 _POISSON = np.cumsum([0.36787944117144233 / x for x in np.cumprod([1.0, *range(1, 18)])])
 _UNIT = 2.0**-53
@@ -147,28 +149,87 @@ def _sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(print_of[:, k].view(np.int64)) for k in (0, 1)], _lists(element, ends)], ["id", "f0", "f1", "shingles"])
 
 
-def _similarity(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact similarity. texts: id, f0, f1 of each distinct text."""
-    need = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+def _sets_of(docs: DataFrame, texts: DataFrame, need: DataFrame) -> DataFrame:
+    """The shingle sets of the texts (id, f0, f1) that `need` names."""
     picked = docs.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "id", "left_semi")
     sets = picked.mapInArrow(_sets, "id long, f0 long, f1 long, shingles array<long>").dropDuplicates(["id", "f0", "f1"])
-    sets = cut(sets.join(texts.join(need, "id", "left_semi"), ["id", "f0", "f1"], "left_semi").select("id", "shingles"))
+    return cut(sets.join(texts.join(need, "id", "left_semi"), ["id", "f0", "f1"], "left_semi").select("id", "shingles"))
+
+
+def _similarity(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with their exact similarity."""
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return cut(pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")))
 
 
-def _across(placed: DataFrame, mixed: DataFrame, known: DataFrame, found: DataFrame, reach: float) -> DataFrame:
-    """Pairs of one bucket but different components, none the leader, that neither their distances to the leader nor their sizes rule out."""
+def _overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """How many elements each two sets share, as sums of products of 0/1 matrices over `step` elements at a time."""
+    element, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = times > 1
+    column = (np.cumsum(shared) - 1)[number]
+    row, column = row[shared[number]], column[shared[number]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for at in range(0, int(shared.sum()), step):
+        part = slice(*np.searchsorted(column, [at, at + step]))
+        has = np.zeros((len(sets), step), dtype=np.float32)
+        has[row[part], column[part] - at] = 1
+        out += has @ has.T
+    return out
+
+
+def _compare(similarity: float):
+    """Compares texts of different components in two blocks of a bucket; returns which components are linked, never the pairs."""
+    reach = 1 - similarity + 1e-9
+
+    def run(group: pa.Table) -> pa.Table:
+        col = {c: group[c].to_numpy() for c in ("block", "component", "apart", "far", "size")}
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        two = lambda f, x: f(x[:, None], x[None, :])
+        ask = two(np.not_equal, col["component"]) & two(np.logical_or, col["apart"])
+        ask &= np.abs(two(np.subtract, col["far"])) <= reach
+        ask &= two(np.minimum, col["size"]) >= similarity * two(np.maximum, col["size"]) - 1e-9
+        if lo != hi:
+            ask &= two(np.not_equal, col["block"])
+        some = np.flatnonzero(ask.any(axis=1))
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not len(some):
+            return none
+        part = group.take(pa.array(some))
+        sets = [x.values.to_numpy() for x in part["shingles"]]
+        both = _overlaps(sets).astype(np.float64)
+        size = np.array([len(x) for x in sets])
+        linked = ask[np.ix_(some, some)] & (both / (size[:, None] + size[None, :] - both) >= similarity)
+        x, y = np.nonzero(linked)
+        if not len(x):
+            return none
+        node, label = least_labels(col["component"][some[x]], col["component"][some[y]])
+        return pa.table({"a": pa.array(node), "b": pa.array(label)})
+
+    return run
+
+
+def _across(placed: DataFrame, mixed: DataFrame, known: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket, found in blocks of at most about BLOCK texts each.
+
+    Leaders are left out, having been compared with all. Two texts are compared if they aren't
+    of one component nor both of the leader's, and neither their distances to the leader, by the
+    triangle inequality, nor their sizes rule a link out.
+    """
     rest = placed.join(mixed, ["band", "value"]).where("id != leader").join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far")), ["id", "leader"])
     lead = found.select(F.col("id").alias("leader"), F.col("component").alias("lead"))
-    rest = cut(rest.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader")))
-    cell = F.floor(F.col("far") / reach).cast("int")
-    left = rest.where("component != lead").select("band", "value", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("far").alias("fa"), F.col("size").alias("na"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = rest.select("band", "value", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("far").alias("fb"), F.col("size").alias("nb"), cell.alias("cell"))
-    across = left.join(right, ["band", "value", "cell"]).where((F.col("ca") != F.col("cb")) & (F.abs(F.col("fa") - F.col("fb")) <= reach + 1e-9) & (F.least("na", "nb") >= (1 - reach) * F.greatest("na", "nb")))
-    return cut(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rest = cut(rest.join(lead, "leader", "left").withColumn("apart", F.col("component") != F.coalesce("lead", "leader")).drop("leader", "lead"))
+    key = ["band", "value"]
+    # where all left are of the leader's component there is nothing to compare
+    sizes = cut(rest.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("apart").alias("any"), F.count("*").alias("n")).where("any and n > 1").select(*key, "blocks"))
+    dealt = rest.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    full = dealt.drop("blocks", "other").join(sets, "id")
+    return cut(full.groupBy(*key, "lo", "hi").applyInArrow(_compare(similarity), "a long, b long"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
@@ -191,8 +252,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     entries = texts.select("id", "size", F.posexplode("bands").alias("band", "value"))
     buckets = cut(entries.groupBy("band", "value").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
     members = cut(entries.join(buckets, ["band", "value"]))
-    led = members.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    known = _similarity(docs, texts, led)
+    led = cut(members.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
+    sets = _sets_of(docs, texts, cut(led.select(F.col("a").alias("id")).union(led.select("b")).distinct()))
+    known = _similarity(sets, led)
     linked = known.where(F.col("similarity") >= similarity).select("a", "b")
     found = connected(copies.union(linked))
 
@@ -201,9 +263,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     placed = members.join(found, "id", "left").select("band", "value", "id", "size", "leader", of.alias("component"))
     mixed = cut(placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "value"))
     if not mixed.isEmpty():
-        across = _across(placed, mixed, known, found, 1 - similarity)
-        more = None if across.isEmpty() else _similarity(docs, texts, across).where(F.col("similarity") >= similarity).select("a", "b")
-        if more is not None and not more.isEmpty():
+        more = _across(placed, mixed, known, found, sets, similarity).where("a != b")
+        if not more.isEmpty():
             found = connected(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
     ids = signed.where("id is not null").groupBy("id").agg(F.count("*").alias("n_rows"))
