@@ -24,7 +24,7 @@ def normalise(pattern: str) -> str:
         c = pattern[i]
         if c == "\\":
             nxt = pattern[i + 1 : i + 2]
-            if nxt and nxt in "*?[]{}\\" and not _starts_segment(pattern, i):
+            if nxt and nxt in "*?[]{}\\":
                 out.append(c + nxt)
                 i += 2
                 continue
@@ -35,12 +35,6 @@ def normalise(pattern: str) -> str:
     return "".join(out)
 
 
-def _starts_segment(pattern: str, i: int) -> bool:
-    """Whether the backslash before `**` or before `*.` stands for a slash, as in Windows paths."""
-    rest = pattern[i + 1 :]
-    return rest.startswith("**") or bool(re.match(r"\*\.\w", rest) and i and pattern[i - 1] in "*/\\")
-
-
 def is_glob(pattern: str) -> bool:
     return first_meta(pattern) >= 0
 

@@ -29,8 +29,8 @@ def parity(a: DataFrame, b: DataFrame, fields: tuple[str, ...] = FIELDS) -> Data
 def compare(before: DataFrame, after: DataFrame, coverage: DataFrame | None = None, fields: tuple[str, ...] = ("size_bytes", "etag", "storage_class", "last_modified")) -> DataFrame:
     """added, changed, tombstoned or unchanged for each key; with coverage also whether a change lies within it.
 
-    A tombstone only after is an error (kind "error"), one only before is left out, and so is a
-    key that ends or stays deleted... as tombstoned and nothing else.
+    A tombstone only after is an error (kind "error"). Keys deleted before and not live after are
+    left out.
     """
     differs = reduce(or_, [~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")) for f in fields])
     was, now = F.col("a").isNotNull() & F.col("a.deleted_at").isNull(), F.col("b").isNotNull() & F.col("b.deleted_at").isNull()
