@@ -182,32 +182,42 @@ def _overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     return out
 
 
+def _ask(group: pa.Table, similarity: float) -> np.ndarray:
+    """Which texts of two blocks of a bucket have to be compared: of different components, not both of the leader's,
+    with distances to the leader and sizes that don't rule a link out."""
+    col = {c: group[c].to_numpy() for c in ("block", "component", "apart", "far", "size")}
+    two = lambda f, x: f(x[:, None], x[None, :])
+    ask = two(np.not_equal, col["component"]) & two(np.logical_or, col["apart"])
+    ask &= np.abs(two(np.subtract, col["far"].astype(np.float32))) <= 1 - similarity + 1e-6
+    ask &= two(np.minimum, col["size"]) >= similarity * two(np.maximum, col["size"]) - 1e-9
+    if group["lo"][0].as_py() != group["hi"][0].as_py():
+        ask &= two(np.not_equal, col["block"])
+    return ask
+
+
+def _asked(similarity: float):
+    """The rows of a bucket that have to be compared with some other, so that only their sets travel."""
+
+    def run(group: pa.Table) -> pa.Table:
+        return group.take(pa.array(np.flatnonzero(_ask(group, similarity).any(axis=1))))
+
+    return run
+
+
 def _compare(similarity: float):
-    """Compares texts of different components in two blocks of a bucket; returns which components are linked, never the pairs."""
-    reach = 1 - similarity + 1e-9
+    """Compares texts as asked; returns which components are linked, never the pairs."""
 
     def run(group: pa.Table) -> pa.Table:
-        col = {c: group[c].to_numpy() for c in ("block", "component", "apart", "far", "size")}
-        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-        two = lambda f, x: f(x[:, None], x[None, :])
-        ask = two(np.not_equal, col["component"]) & two(np.logical_or, col["apart"])
-        ask &= np.abs(two(np.subtract, col["far"])) <= reach
-        ask &= two(np.minimum, col["size"]) >= similarity * two(np.maximum, col["size"]) - 1e-9
-        if lo != hi:
-            ask &= two(np.not_equal, col["block"])
-        some = np.flatnonzero(ask.any(axis=1))
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not len(some):
-            return none
-        part = group.take(pa.array(some))
-        sets = [x.values.to_numpy() for x in part["shingles"]]
-        both = _overlaps(sets).astype(np.float64)
-        size = np.array([len(x) for x in sets])
-        linked = ask[np.ix_(some, some)] & (both / (size[:, None] + size[None, :] - both) >= similarity)
-        x, y = np.nonzero(linked)
-        if not len(x):
-            return none
-        node, label = least_labels(col["component"][some[x]], col["component"][some[y]])
+        ask = _ask(group, similarity)
+        sets = [x.values.to_numpy() for x in group["shingles"]]
+        size = np.array([len(x) for x in sets], dtype=np.float32)
+        both = _overlaps(sets)
+        x, y = np.nonzero(ask & (both >= np.float32(similarity) * (size[:, None] + size[None, :] - both) - np.float32(1e-3)))
+        exact = both[x, y].astype(np.float64) / (size[x].astype(np.float64) + size[y] - both[x, y]) >= similarity
+        component = group["component"].to_numpy()
+        if not exact.any():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        node, label = least_labels(component[x[exact]], component[y[exact]])
         return pa.table({"a": pa.array(node), "b": pa.array(label)})
 
     return run
@@ -228,8 +238,9 @@ def _across(placed: DataFrame, mixed: DataFrame, known: DataFrame, found: DataFr
     sizes = cut(rest.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("apart").alias("any"), F.count("*").alias("n")).where("any and n > 1").select(*key, "blocks"))
     dealt = rest.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    full = dealt.drop("blocks", "other").join(sets, "id")
-    return cut(full.groupBy(*key, "lo", "hi").applyInArrow(_compare(similarity), "a long, b long"))
+    dealt = dealt.select(*key, "lo", "hi", "block", "id", "component", "apart", "far", "size")
+    asked = cut(dealt.groupBy(*key, "lo", "hi").applyInArrow(_asked(similarity), dealt.schema))
+    return cut(asked.join(sets, "id").groupBy(*key, "lo", "hi").applyInArrow(_compare(similarity), "a long, b long"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:

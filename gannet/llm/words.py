@@ -163,3 +163,4 @@ def batches(source: Iterator[pa.RecordBatch], column: str, size: int = 1 << 21)
             to = max(to, at + 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
