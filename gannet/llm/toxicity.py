@@ -6,7 +6,8 @@ over both classes. So an expression that one class never had is rare there, not
 and inflected or compound forms resemble what was learnt. A word's evidence is the difference
 of its two log-likelihoods. A text's evidence is normalised by length: over the whole text, over
 its worst window, and of its worst word. A logistic curve fitted on labelled rows that the
-counts left out turns these into a score.
+counts left out turns these into a score; its rows are weighted to the classes' shares among all
+labelled rows, of which the counts may have taken fewer.
 """
 
 from __future__ import annotations
@@ -183,18 +184,19 @@ def train(words: pa.Array, count: np.ndarray) -> Model:
     return model
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge, weights in x's own units."""
+def fit_curve(x: np.ndarray, y: np.ndarray, of_row: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps with a small ridge, weights in x's own units. of_row: how much each row counts, 1 by default."""
+    of_row = np.ones(len(y)) if of_row is None else of_row
     if not len(y) or y.min() == y.max():
-        base = (y.sum() + 0.5) / (len(y) + 1)
+        base = ((of_row * y).sum() + 0.5) / (of_row.sum() + 1)
         return np.array([0.0] * FEATURES + [np.log(base / (1 - base))])
     mid, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - mid) / scale, np.ones(len(x))])
     w = np.zeros(FEATURES + 1)
-    ridge = np.diag([1e-3] * FEATURES + [1e-6]) * len(y)
+    ridge = np.diag([1e-3] * FEATURES + [1e-6]) * of_row.sum()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((z * (of_row * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (of_row * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -214,10 +216,12 @@ def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", hold_out: int = 5, max_rows: int = MAX_ROWS) -> Model:
     """Learns from labelled rows whose crc32(id) mod hold_out isn't 0, max_rows of each class at most.
 
+    The curve has the rate of toxic rows among all of these, however many of a class are learnt from.
     A null label teaches nothing; of several labels of one id the largest counts. Without any
     labelled row of a class, all texts get that class's share as their score.
     """
     each = labels.where(F.col(label).isin(0, 1) & (crc_of_id(id_col, hold_out) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
+    all_of = {r["toxic"]: r["count"] for r in each.groupBy("toxic").count().collect()}  # two rows
     order = F.xxhash64("id", F.lit("learn"))
     picked = None
     for c in (0, 1):
@@ -239,7 +243,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     names = [f"x{k}" for k in range(FEATURES)]
     left = rows.where("curve").select("toxic", "text").mapInArrow(weigh, "toxic int, " + ", ".join(f"{x} double" for x in names)).toArrow().to_pandas()
     sent.destroy()
-    model.curve = fit_curve(left[names].to_numpy(), left["toxic"].to_numpy().astype(float))
+    of_class = np.array([all_of.get(c, 0) / max(min(all_of.get(c, 0), max_rows), 1) for c in (0, 1)])  # rows that one learnt from stands for
+    toxic = left["toxic"].to_numpy().astype(int)
+    of_row = of_class[toxic]
+    model.curve = fit_curve(left[names].to_numpy(), toxic.astype(float), of_row / of_row.mean() if len(of_row) else of_row)
     return model
 
 

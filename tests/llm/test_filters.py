@@ -118,6 +118,17 @@ def test_toxicity_learns(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id = 0").count() == 0
 
 
+def test_toxicity_keeps_the_rate_of_cut_classes(spark):
+    """However many rows of a class are learnt from, scores have the rate of all labelled rows (here 1 in 9, as nothing tells the classes apart)."""
+    r = np.random.default_rng(11)
+    rows = [(k, " ".join(r.choice(["ab", "cd", "ef", "gh"], 12)), int(k % 9 == 0)) for k in range(3600)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    for most in (300, 10_000):
+        got = toxicity.score(docs, toxicity.fit(docs, labels, max_rows=most)).selectExpr("avg(score) s", "avg(predicted) p").first()
+        assert abs(got["s"] - 1 / 9) < 0.04 and got["p"] < 0.02
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
