@@ -1,7 +1,7 @@
 """Text of web pages by layout-aware rendering.
 
 A tree builder reads tags with the usual implied ones (a new paragraph or list item ends the
-one before, a table part ends its like, a void tag holds nothing); then a renderer writes all
+one before, a table part ends its like, a cell opens its row, a void tag holds nothing); then a renderer writes all
 visible text: blocks on lines of their own, paragraphs and headings set off by blank lines,
 list items marked and indented, table cells aligned in columns, preformatted text as it stands.
 """
@@ -40,9 +40,13 @@ IMPLIED_END = {
     "tbody": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-IMPLIED_END["thead"] = IMPLIED_END["tfoot"] = IMPLIED_END["tbody"]
+IMPLIED_END["thead"] = IMPLIED_END["tfoot"] = IMPLIED_END["caption"] = IMPLIED_END["colgroup"] = IMPLIED_END["tbody"]
+SECTIONS = frozenset(["tbody", "thead", "tfoot"])
+#: A start of these closes what isn't a table's part up to the next of the tags behind them.
+TABLE_PART = {"tr": {"table", *SECTIONS}, "td": {"table", "tr", *SECTIONS}} | dict.fromkeys([*SECTIONS, "caption", "colgroup"], {"table"})
+TABLE_PART["th"] = TABLE_PART["td"]
 #: An end tag doesn't reach out of these.
-WALL = {"td": {"table"}, "th": {"table"}, "tr": {"table"}, "li": {"ul", "ol", "menu"}}
+WALL = {"td": {"table"}, "th": {"table"}, "tr": {"table"}, "form": {"table"}, "li": {"ul", "ol", "menu"}}
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -110,8 +114,20 @@ def parse(source: str) -> Node:
                 close(low)
         elif stack[-1].tag == "head" and tag not in IN_HEAD:
             close(len(stack) - 1)
+        if tag in TABLE_PART:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in TABLE_PART[tag]:
+                    close(k + 1)
+                    if tag in ("td", "th") and stack[-1].tag != "tr":
+                        stack[-1].children.append(Node("tr"))
+                        stack.append(stack[-1].children[-1])
+                    break
+                if stack[k].tag in HIDDEN:
+                    break
         node = Node(tag, {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if m[3].strip(" /\n\t\r") else {})
         stack[-1].children.append(node)
+        if tag == "form" and (stack[-1].tag in ("table", "tr") or stack[-1].tag in SECTIONS):
+            continue  # it holds nothing there: rows and cells stay the table's
         if tag in VOID or (m[3].endswith("/") and tag not in RAW and tag not in BLOCK):
             continue
         if tag in RAW:
@@ -280,10 +296,22 @@ def _rows(node: Node) -> Iterator[Node]:
         if isinstance(x, Node) and visible(x):
             if x.tag == "tr":
                 yield x
-            elif x.tag in ("tbody", "thead", "tfoot"):
+            elif x.tag in SECTIONS:
                 yield from (y for y in x.children if isinstance(y, Node) and y.tag == "tr" and visible(y))
 
 
+def _strays(node: Node) -> Iterator[Node | str]:
+    """What a table or its sections show besides rows."""
+    for x in node.children:
+        if isinstance(x, str):
+            yield x
+        elif visible(x):
+            if x.tag in SECTIONS or x.tag == "colgroup":
+                yield from _strays(x)
+            elif x.tag not in ("tr", "col"):
+                yield x
+
+
 def _span(x: Node) -> int:
     n = x.attrs.get("colspan", "")
     return min(max(int(n), 1), 1000) if re.fullmatch(r"\d{1,4}", n) else 1
@@ -293,11 +321,11 @@ def _table(node: Node, depth: int) -> list[str]:
     grid: list[list[tuple[int, int, list[str]]]] = []
     wide: dict[int, int] = {}
     head: list[str] = []
-    for x in node.children:
+    for x in _strays(node):
         if isinstance(x, str):
             if x.strip():
                 head.append(_SPACE.sub(" ", x).strip())
-        elif x.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col") and visible(x):
+        else:
             head.extend(_block(Node("#", {}, [x]), depth))
     for row in _rows(node):
         col, cells = 0, []

@@ -183,6 +183,26 @@ def test_html(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table><thead><th>Name<th>N</thead><tbody><tr><td>abcdef<td>1</table>", "Name    N\nabcdef  1"),
+        ("<table><tbody><td>a<td>b<tfoot><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tbody><tr><td>a</td></tr><td>b</td><tr><td>c</table>", "a\nb\nc"),
+        ("<table><tbody><form><tr><td>a<td>b</tr><tr><td>c<td>d</tr></form></tbody></table>", "a  b\nc  d"),
+        ("<form><table><tr><td>a</form><td>b</table>c</form>d", "a  b\n\nc\nd"),
+        ("<table><tbody>stray<tr><td>a</tr> <b>bold</b><div>block<tr><td>c</table>", "stray\nbold\nblock\na\nc"),
+        ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<table><colgroup><col>x<tr><td>a</table>", "x\na"),
+        ("<table><tbody><tr><td>a<caption>top</table>", "top\na"),
+        ("<table><tbody hidden>no<td>no</tbody><tbody><noscript><tr><td>no</noscript><td>a</table>", "a"),
+        ("<table><tbody><td>a<table><tbody><td>b<td>c</table><td>d</table>", "a     d\n\nb  c"),
+    ],
+)
+def test_html_table_sections(source, text):
+    assert html_text.render(source) == text
+
+
 def test_html_operator(spark):
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
     df = spark.createDataFrame([(1, "<p>a", "u"), (None, None, "u"), (2, deep, None), (1, "<p>a", "u"), (3, "<ul><li>" * 200 + "y", None)], "page_id long, html string, text string")
