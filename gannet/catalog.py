@@ -467,6 +467,13 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").where(n % 8 != 4).select("doc_id", values.format_size(n).alias("shown"), values.size_of(F.concat(n.cast("string"), F.lit(" kB"))).alias("parsed"))
 
 
+@_query("SELECT doc_id, CASE WHEN n_chars >= 1024 THEN printf('%.1fKiB', n_chars / 1024.0) ELSE n_chars || 'B' END AS shown, CAST(n_chars * 1000 AS BIGINT) AS parsed FROM documents")
+def sizes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sizes over all documents."""
+    n = F.col("n_chars")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", values.format_size(n).alias("shown"), values.size_of(F.concat(n.cast("string"), F.lit(" kB"))).alias("parsed"))
+
+
 @_query("SELECT rel_key, journal_id, sequence, event_type, size_bytes FROM (SELECT *, row_number() OVER (PARTITION BY rel_key ORDER BY journal_id DESC, sequence DESC) AS rn FROM journal) WHERE rn = 1", JOURNAL)
 def events_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold that the streaming merge applies to each batch, over the whole journal in two batches."""

@@ -30,3 +30,9 @@ def test_against_sql(spark, data, duck, name):
 def test_entry(spark, data):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sizes_of_all_documents(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert docs.where("n_chars % 8 = 4").count() > 0
+    assert catalog.QUERIES["sizes_all"](spark, data).count() == docs.count()
