@@ -103,9 +103,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     each = hits.select("doc_id", "h", F.explode(windows).alias("window")).where("window.at >= 0 and window.at < size(h)")
     cut = each.select("doc_id", "window.scale", "window.at", F.slice("h", F.col("window.at") + 1, 2 * F.col("window.scale")).alias("h"))
     banded = cut.select("*", F.posexplode(bands(F.col("h"))).alias("band", "value"))
-    met = banded.join(F.broadcast(sought), ["scale", "band", "value"]).dropDuplicates(["doc_id", "scale", "at", "template"])
+    met = banded.join(F.broadcast(sought), ["scale", "band", "value"])
     share = F.size(F.array_intersect("of", "h")) / F.size("of")
     found = met.withColumn("containment", share).where(F.col("containment") >= containment)
+    # counted before anything is taken for a repeat: rows that share an id may differ in text
     best = F.max(F.struct("containment", -F.col("at"), F.size("h").alias("size"))).alias("best")
     return found.groupBy("doc_id", "template").agg(best).select(
         "doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.col2")).alias("first_word"), (F.col("best.size") + SHINGLE - 1).alias("n_words")

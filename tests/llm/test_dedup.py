@@ -133,6 +133,16 @@ def test_licences(spark):
     assert license_scan.scan(df.limit(0)).count() == 0 and license_scan.scan(df, {"short": "too short"}).count() == 0
 
 
+def test_licences_of_rows_that_share_an_id(spark):
+    """Other texts of an id, alike in part at the same place, don't hide the one that holds the licence."""
+    whole = license_scan.TEMPLATES["mit-grant"]
+    ws = whole.split()
+    part = [" ".join(ws[: 20 + k] + [f"x{k}{j}" for j in range(len(ws) - 20 - k)]) for k in range(12)]
+    rows = [(i, t) for i in (1, 2, 3, None) for t in [*part, whole, *part]]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("template = 'mit-grant'").collect()
+    assert sorted((r["doc_id"] or 0, r["containment"], r["first_word"]) for r in got) == [(k, 1.0, 0) for k in range(4)]
+
+
 def test_every_template_is_found_in_any_place(spark):
     r = np.random.default_rng(4)
     rows = []
