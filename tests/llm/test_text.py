@@ -183,6 +183,19 @@ def test_html(source, text):
     assert html_text.render(source) == text
 
 
+def test_sentencepiece_unigram_equals_the_library(tmp_path):
+    import sentencepiece
+
+    r = np.random.default_rng(2)
+    stems = ["".join(r.choice(list("abcdeio"), int(r.integers(2, 7)))) for _ in range(120)]
+    texts = [" ".join(r.choice(stems, 12)) for _ in range(600)]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=str(tmp_path / "u"), model_type="unigram", vocab_size=150, hard_vocab_limit=False, normalization_rule_name="identity", num_threads=1, minloglevel=2)
+    theirs, mine = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model")), sentencepiece_fst.Transducer(str(tmp_path / "u.model"))
+    assert not mine.merging
+    for t in texts[:200]:
+        assert [theirs.id_to_piece(i) for i in theirs.encode(t)] == mine.path(sentencepiece_fst.MARK + t.replace(" ", sentencepiece_fst.MARK))
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
