@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gannet.llm.common import cut
-
-#: Distinct edges, 16 bytes each, up to which one task joins them all; beyond it rounds of shuffles do.
-TASK_EDGES = 2_000_000
+from gannet.llm.common import cut, drop
 
 
 def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,40 +26,31 @@ def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _at_once(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in source if x.num_rows]
-    if parts:
-        node, label = least_labels(*[np.concatenate(p) for p in zip(*parts, strict=True)])
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], ["id", "component"])
-
-
 def connected(edges: DataFrame) -> DataFrame:
-    """id and component (the smallest id that can be reached) of every id in edges (columns a and b, long).
+    """id and component (the smallest id that can be reached) of every id in edges (columns a and b, long), as a table written by cut.
 
-    Up to TASK_EDGES distinct edges are joined in one task. More are joined by large-star and
-    small-star steps in turn until nothing changes, each round written out; no node's neighbours
-    are gathered anywhere then: a node meets its smallest neighbour by a partial minimum and a
-    join that Spark can split where one node has many edges. Edges with a null end are ignored,
-    loops give a component of one.
+    Large-star and small-star steps in turn until nothing changes, each round written out. No
+    node's neighbours are gathered anywhere: a node meets its smallest neighbour by a partial
+    minimum and a join that Spark can split where one node has many edges. Edges with a null end
+    are ignored, loops give a component of one.
     """
     known = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    loops = known.where("hi = lo").select("hi", "lo")
-    now = cut(known.distinct())
-    if now.count() <= TASK_EDGES:
-        return cut(now.coalesce(1).mapInArrow(_at_once, "id long, component long"))
-    now = now.where("hi != lo")
-    before = None
+    every = cut(known.distinct())
+    now, before = cut(every.where("hi != lo")), None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), now)
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(lowest, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = cut(small.union(lowest.select("hi", "m")).distinct())
+        now = cut(small.union(lowest.select("hi", "m")).distinct(), large)
     nodes = now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
-    alone = loops.union(now.select("lo", "lo")).select(F.col("hi").alias("id"), F.col("lo").alias("component")).distinct()
-    return nodes.union(alone.join(nodes, "id", "left_anti"))
+    # what is nobody's higher end is a root, or stands alone in a loop
+    roots = every.select(F.col("lo").alias("id")).distinct().join(nodes, "id", "left_anti")
+    found = cut(nodes.union(roots.select("id", "id")), every)
+    drop(now)
+    return found

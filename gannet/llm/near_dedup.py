@@ -9,7 +9,11 @@ needs only as many darts as its signature, not shingles times coordinates.
 Documents that agree on a band meet in a bucket. In a bucket all are compared with one leader;
 then documents that this left in different components are compared with each other in blocks,
 unless their distances to the leader, by the triangle inequality, rule a link out. All
-comparisons take the exact Jaccard similarity of the shingle sets.
+comparisons take the exact Jaccard similarity of the shingle sets, weighted as the signatures
+are: a shingle that counts n times is n elements, the shingle and its number of occurrence.
+
+Texts themselves are shuffled only where they may be dropped. Those whose shingles are needed are
+picked by a map of bits of a fixed size, which lets some others pass; a join behind it drops these.
 """
 
 from __future__ import annotations
@@ -18,21 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gannet.llm import words as W
-from gannet.llm.common import cut
+from gannet.llm.common import cut, drop
 from gannet.llm.components import connected, least_labels
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares no band with probability (1 - 0.8 ** 6) ** 40, 5 in a million; one at 0.2 shares
 #: one with 0.3 %, so documents with a passage in common seldom meet.
 BANDS, ROWS = 40, 6
-#: Ids that may be broadcast to pick texts; beyond it they are joined by a shuffle. 8 bytes each.
-BROADCAST_IDS = 1_000_000
 #: Texts of a bucket that are compared at once with as many others.
 BLOCK = 512
+#: Bits of the map by which texts are picked without a shuffle: 8 MB to broadcast, whatever the input. A full
+#: map picks too many texts, which the join behind it drops.
+MAP_BITS = 1 << 26
 
 _POISSON = np.cumsum([0.36787944117144233 / x for x in np.cumprod([1.0, *range(1, 18)])])
 _UNIT = 2.0**-53
@@ -127,41 +133,87 @@ def _sign(weighting: str):
             element, times, doc = shingles(words)
             weight = times.astype(float) if weighting == "count" else np.ones(len(element))
             sig = signatures(element, weight, doc, batch.num_rows, BANDS * ROWS)
-            band = np.zeros((batch.num_rows, BANDS), dtype=np.uint64)
+            band = np.tile(np.arange(BANDS, dtype=np.uint64), (batch.num_rows, 1))
             for r in range(ROWS):
                 band = W.mix(band * np.uint64(W._P) + sig[:, r::ROWS])
             print_of = _fingerprints(words)
             empty = words.counts() == 0
-            size = np.bincount(doc, minlength=batch.num_rows)
+            size = np.bincount(doc, weights=weight, minlength=batch.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(print_of[:, k].view(np.int64), mask=empty) for k in (0, 1)], pa.array(size, pa.int64()), _lists(band.ravel(), np.arange(0, band.size + 1, BANDS))], ["id", "f0", "f1", "size", "bands"]
+                [batch.column(0), *[pa.array(print_of[:, k].view(np.int64), mask=empty) for k in (0, 1)], pa.array(size), _lists(band.ravel(), np.arange(0, band.size + 1, BANDS))], ["id", "f0", "f1", "size", "bands"]
             )
 
     return run
 
 
-def _sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.batches(source, "text", 1 << 20):
-        words = W.split(*W.utf8(batch.column(1)))
-        element, _, doc = shingles(words)
-        print_of = _fingerprints(words)
-        ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(print_of[:, k].view(np.int64)) for k in (0, 1)], _lists(element, ends)], ["id", "f0", "f1", "shingles"])
+def _sets(weighting: str):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.batches(source, "text", 1 << 20):
+            words = W.split(*W.utf8(batch.column(1)))
+            element, times, doc = shingles(words)
+            if weighting == "count":
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                element, doc = np.repeat(element, times), np.repeat(doc, times)
+                element = np.where(nth > 0, W.mix(element + nth.astype(np.uint64) * np.uint64(W._P)), element)
+                order = np.lexsort((element, doc))
+                element = element[order]
+            print_of = _fingerprints(words)
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(print_of[:, k].view(np.int64)) for k in (0, 1)], _lists(element, ends)], ["id", "f0", "f1", "shingles"])
+
+    return run
+
 
+def _may_be_in(rows: DataFrame, of: Column, ids: DataFrame) -> DataFrame:
+    """rows (columns that don't start with map_) and map_hit: whether `of` may be one of ids (column id). False is certain.
 
-def _sets_of(docs: DataFrame, texts: DataFrame, need: DataFrame) -> DataFrame:
+    A broadcast of MAP_BITS bits at most, and no shuffle of rows.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    known = ids.select(slot(F.col("id")).alias("slot")).select(F.bitmap_bucket_number("slot").alias("map_bucket"), F.bitmap_bit_position("slot").alias("bit"))
+    bits = known.repartition("map_bucket").groupBy("map_bucket").agg(F.bitmap_construct_agg("bit").alias("map_bits"))
+    bit = F.bitmap_bit_position(slot(of))
+    byte = F.conv(F.hex(F.substring("map_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot(of)) == F.col("map_bucket"), "left").select(*rows.columns, hit.alias("map_hit"))
+
+
+def _sets_of(docs: DataFrame, texts: DataFrame, need: DataFrame, weighting: str) -> DataFrame:
     """The shingle sets of the texts (id, f0, f1) that `need` names."""
-    picked = docs.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "id", "left_semi")
-    sets = picked.mapInArrow(_sets, "id long, f0 long, f1 long, shingles array<long>").dropDuplicates(["id", "f0", "f1"])
+    picked = _may_be_in(docs, docs["id"], need).where("map_hit").select("id", "text")
+    sets = picked.mapInArrow(_sets(weighting), "id long, f0 long, f1 long, shingles array<long>").dropDuplicates(["id", "f0", "f1"])
     return cut(sets.join(texts.join(need, "id", "left_semi"), ["id", "f0", "f1"], "left_semi").select("id", "shingles"))
 
 
-def _similarity(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact similarity."""
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return cut(pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")))
+def _with_leader(group: pa.Table) -> pa.Table:
+    """The similarity of each text of a block with the leader."""
+    lead, member = group.filter(group["leads"]), group.filter(pc.invert(group["leads"]))
+    out: list[tuple] = []
+    if member.num_rows:
+        sets = member["shingles"].combine_chunks()
+        flat, ends = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        for own in lead["shingles"]:
+            own = np.sort(own.values.to_numpy())
+            at = np.minimum(np.searchsorted(own, flat), max(len(own) - 1, 0))
+            total = np.concatenate([[0], np.cumsum(own[at] == flat)])
+            both = total[ends[1:]] - total[ends[:-1]]
+            out.append((member["id"].to_numpy(), both / (np.diff(ends) + len(own) - both)))
+    a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
+    s = np.concatenate([x for _, x in out]) if out else np.zeros(0)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(np.full(len(a), group["leader"][0].as_py()), pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+
+def _similarity(sets: DataFrame, led: DataFrame) -> DataFrame:
+    """led (a, its leader b) with their exact similarity.
+
+    A leader's texts are dealt to blocks of about BLOCK, each with a copy of the leader's set: no set
+    travels once for each pair, and no task holds all that share a leader.
+    """
+    blocks = cut(led.groupBy(F.col("b").alias("leader")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    dealt = led.join(blocks, led["b"] == blocks["leader"]).select("leader", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.col("a").alias("id"))
+    members = dealt.join(sets, "id").select("leader", "block", "id", "shingles", F.lit(False).alias("leads"))
+    leaders = blocks.join(sets, blocks["leader"] == sets["id"]).select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "shingles", F.lit(True).alias("leads"))
+    return cut(members.union(leaders).groupBy("leader", "block").applyInArrow(_with_leader, "a long, b long, similarity double"), blocks)
 
 
 def _overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
@@ -223,78 +275,86 @@ def _compare(similarity: float):
     return run
 
 
-def _across(placed: DataFrame, mixed: DataFrame, known: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _across(members: DataFrame, texts: DataFrame, known: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between components that meet in a bucket, found in blocks of at most about BLOCK texts each.
 
     Leaders are left out, having been compared with all. Two texts are compared if they aren't
     of one component nor both of the leader's, and neither their distances to the leader, by the
     triangle inequality, nor their sizes rule a link out.
     """
-    rest = placed.join(mixed, ["band", "value"]).where("id != leader").join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far")), ["id", "leader"])
+    of = F.coalesce("component", "id")
+    placed = cut(members.join(found, "id", "left").select("band", "id", "leader", of.alias("component")))
+    # buckets that still hold several components
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band")
+    rest = placed.join(mixed, "band").where("id != leader").join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("far")), ["id", "leader"])
     lead = found.select(F.col("id").alias("leader"), F.col("component").alias("lead"))
-    rest = cut(rest.join(lead, "leader", "left").withColumn("apart", F.col("component") != F.coalesce("lead", "leader")).drop("leader", "lead"))
-    key = ["band", "value"]
+    rest = rest.join(lead, "leader", "left").withColumn("apart", F.col("component") != F.coalesce("lead", "leader")).drop("leader", "lead")
+    rest = cut(rest.join(texts.select("id", "size").distinct(), "id"), placed)
     # where all left are of the leader's component there is nothing to compare
-    sizes = cut(rest.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("apart").alias("any"), F.count("*").alias("n")).where("any and n > 1").select(*key, "blocks"))
-    dealt = rest.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("apart").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("band", "blocks")
+    dealt = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    dealt = dealt.select(*key, "lo", "hi", "block", "id", "component", "apart", "far", "size")
-    asked = cut(dealt.groupBy(*key, "lo", "hi").applyInArrow(_asked(similarity), dealt.schema))
-    return cut(asked.join(sets, "id").groupBy(*key, "lo", "hi").applyInArrow(_compare(similarity), "a long, b long"))
+    dealt = dealt.select("band", "lo", "hi", "block", "id", "component", "apart", "far", "size")
+    asked = cut(dealt.groupBy("band", "lo", "hi").applyInArrow(_asked(similarity), dealt.schema), rest)
+    return cut(asked.join(sets, "id").groupBy("band", "lo", "hi").applyInArrow(_compare(similarity), "a long, b long"), asked)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """One row for each id: doc_id, class_id (the smallest id of its class), kept (it is that id), n_rows.
 
     Documents of one class are joined by a chain of links: equal words in equal order, or a
-    Jaccard similarity of their sets of five-word shingles of at least `similarity` (a text of
-    fewer words is one shingle). weighting "count" throws darts at regions as wide as a
-    shingle is frequent, "set" at regions of width 1. Null texts and texts without words link
-    with nothing. Rows of one id are one document, of all their texts. Each null id stays a row
-    of its own, with a null class, kept. Other columns are left out, so names can't clash.
+    Jaccard similarity of their five-word shingles of at least `similarity` (a text of fewer
+    words is one shingle). weighting "set" counts each shingle of a text once; "count" as often
+    as it occurs, for signatures and comparisons alike. Null texts and texts without words link
+    with nothing. Very long texts are read whole. Rows of one id are one document, of all their
+    texts. Each null id stays a row of its own, with a null class, kept. Other columns are left
+    out, so names can't clash. The result is a table in the shared folder.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     signed = cut(docs.mapInArrow(_sign(weighting), "id long, f0 long, f1 long, size long, bands array<long>"))
     full = signed.where("id is not null and f0 is not null")
     texts = cut(full.groupBy("f0", "f1").agg(F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
-    copies = cut(full.select("f0", "f1", F.col("id").alias("a")).join(texts.select("f0", "f1", F.col("id").alias("b")), ["f0", "f1"]).where("a != b").select("a", "b").distinct())
-
-    # one bucket for each band and value; buckets of one text are dropped
-    entries = texts.select("id", "size", F.posexplode("bands").alias("band", "value"))
-    buckets = cut(entries.groupBy("band", "value").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    members = cut(entries.join(buckets, ["band", "value"]))
+    # copies follow the text that stands for them; ids with several texts join these
+    named = cut(signed.where("id is not null").select(F.col("id").alias("doc_id"), "f0", "f1").join(texts.select("f0", "f1", F.col("id").alias("rep")), ["f0", "f1"], "left").select("doc_id", "rep"))
+    ids = cut(named.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.min("rep").alias("rep"), F.max("rep").alias("last")))
+    joined = named.join(ids.where("rep != last").select("doc_id", F.col("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a != b").distinct()
+
+    # one bucket for each band; buckets of one text are dropped
+    entries = texts.select("id", F.explode("bands").alias("band"))
+    buckets = cut(entries.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    members = cut(entries.join(buckets, "band"), buckets)
     led = cut(members.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-    sets = _sets_of(docs, texts, cut(led.select(F.col("a").alias("id")).union(led.select("b")).distinct()))
+    need = cut(led.select(F.col("a").alias("id")).union(led.select("b")).distinct())
+    sets = _sets_of(docs, texts, need, weighting)
     known = _similarity(sets, led)
-    linked = known.where(F.col("similarity") >= similarity).select("a", "b")
-    found = connected(copies.union(linked))
-
-    # buckets that still hold several components: compare across these
-    of = F.coalesce("component", "id")
-    placed = members.join(found, "id", "left").select("band", "value", "id", "size", "leader", of.alias("component"))
-    mixed = cut(placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "value"))
-    if not mixed.isEmpty():
-        more = _across(placed, mixed, known, found, sets, similarity).where("a != b")
-        if not more.isEmpty():
-            found = connected(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    drop(led, need)
+    found = connected(joined.union(known.where(F.col("similarity") >= similarity).select("a", "b")))
+    more = _across(members, texts, known, found, sets, similarity)
+    drop(members, known, sets)
+    if not more.isEmpty():
+        first, found = found, connected(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+        drop(first)
 
-    ids = signed.where("id is not null").groupBy("id").agg(F.count("*").alias("n_rows"))
-    class_id = F.coalesce("component", "id")
-    named = ids.join(found, "id", "left").select(F.col("id").alias("doc_id"), class_id.alias("class_id"), (F.col("id") == class_id).alias("kept"), "n_rows")
-    unnamed = signed.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("n_rows"))
-    return named.union(unnamed)
+    class_id = F.coalesce("component", "rep", "doc_id")
+    classed = ids.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", class_id.alias("class_id"), (F.col("doc_id") == class_id).alias("kept"), "n_rows")
+    null = F.lit(None).cast("long")
+    unnamed = signed.where("id is null").select(null.alias("doc_id"), null.alias("class_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("n_rows"))
+    return cut(classed.union(unnamed), signed, texts, named, ids, more, found)
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with one document of each class left: that of the smallest id; of its repeated rows, one.
 
-    All columns stay as they were. Rows with a null id stay.
+    All columns stay as they were. Rows with a null id stay. Only rows that may have to go, as a
+    map of bits of the ids tells, are shuffled with their columns, and once.
     """
-    found = cut(classes(docs, id_col, text))
-    gone = found.where("not kept").select("doc_id")
-    again = found.where("kept and n_rows > 1 and doc_id is not null").select("doc_id")
-    by = docs[id_col].cast("long")
-    rest = docs.join(gone, by == gone["doc_id"], "left_anti")
-    by_rest = rest[id_col].cast("long")
-    single = rest.join(again, by_rest == again["doc_id"], "left_anti")
-    return single.union(rest.join(again, by_rest == again["doc_id"], "left_semi").dropDuplicates([id_col]))
+    found = classes(docs, id_col, text)
+    verdict = cut(found.where("doc_id is not null and (not kept or n_rows > 1)").select(F.col("doc_id").alias("id"), "kept"), found)
+    by = F.col(id_col).cast("long")
+    rows = _may_be_in(docs.select(F.struct("*").alias("row"), by.alias("by")), F.col("by"), verdict)
+    stay = rows.where("not map_hit").select("row")
+    asked = rows.where("map_hit").join(verdict.hint("merge"), F.col("by") == F.col("id"), "left").where("kept is null or kept").select("row", "by", "id")
+    if verdict.where("kept").isEmpty():
+        return stay.union(asked.select("row")).select("row.*")
+    asked = cut(asked)
+    return stay.union(asked.where("id is null").select("row")).union(asked.where("id is not null").dropDuplicates(["id"]).select("row")).select("row.*")
