@@ -141,26 +141,27 @@ class Packer:
 
 
 class _Memory(dict):
-    """Ids, as bytes, of stretches met before. Two generations of at most `most` stretches are kept."""
+    """Ids, as bytes, of stretches met before. Two generations of at most about `most` bytes each are kept, long stretches never."""
+
+    LONG, ENTRY = 256, 200  # characters of a stretch that is kept at most; bytes an entry takes besides its contents
 
     def __init__(self, learn, most: int):
         super().__init__()
-        self.learn, self.most, self.old = learn, most, {}
+        self.learn, self.most, self.old, self.held = learn, most, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         ids = self.old.get(key)
         if ids is None:
             ids = self.learn(key)
-        self.trim()
+        if len(key) > self.LONG:
+            return ids
+        if self.held >= self.most:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self.held += self.ENTRY + len(key) + len(ids)
         self[key] = ids
         return ids
 
-    def trim(self) -> None:
-        """Starts a new generation if this one is full."""
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-
 
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own.
@@ -175,7 +176,7 @@ class Encoder:
     _ODD = re.compile(r" (?:\s|\Z)")
     _FAST = re.compile("[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 
-    def __init__(self, path: str, ranks_path: str | None = None, most: int = 300_000):
+    def __init__(self, path: str, ranks_path: str | None = None, most: int = 40 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -221,7 +222,8 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id
 
     Each document gets `eos` behind its ids. Null texts count as empty, so they are that one id.
     Repeated rows and null ids are documents like any other; columns other than these two are
-    left out, so their names can't clash. Each input partition is packed alone, without a
+    left out, so their names can't clash. Very long texts are encoded whole: a worker holds one
+    text's ids at once, and what it remembers of stretches is bounded in bytes. Each input partition is packed alone, without a
     shuffle: sequence ids hold the partition's number, at most `pool` remainders are held at
     once, and at most log2(window) + 1 sequences a partition are shorter than the window.
     """
