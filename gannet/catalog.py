@@ -122,7 +122,7 @@ def set_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.set_summary(views.documents(spark, sf_dir))
 
 
-@_query("SELECT index_set_id, count(*) AS runs, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'partial') AS \"partial\", count(*) FILTER (WHERE status = 'failed') AS failed FROM runs GROUP BY 1", RUNS)
+@_query("SELECT index_set_id, count(*) AS runs, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'partial') AS \"partial\", count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'failed-resumable') AS failed_resumable FROM runs GROUP BY 1", RUNS)
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.run_summary(views.runs(spark))
 
@@ -157,26 +157,51 @@ def restore_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.restore(views.documents(spark, sf_dir), "2024-04-15").select("rel_key", _day("deleted_at"))
 
 
+_LINEAGE = ("first_seen_run_id", "first_seen_at", "last_changed_run_id", "last_changed_at", "last_seen_run_id", "last_seen_at")
+#: The earlier snapshot with lineage, some of it missing, and what enrichment has found.
+PRIOR = """prior AS (SELECT i.index_set_id, p.rel_key, p.size_bytes, p.etag, p.storage_class, p.last_modified, CASE WHEN i.doc_id % 7 <> 0 THEN i.first_seen_run_id END AS first_seen_run_id, CASE WHEN i.doc_id % 7 <> 0 THEN i.first_seen_at END AS first_seen_at,
+  CASE WHEN i.doc_id % 19 <> 0 THEN i.last_changed_run_id END AS last_changed_run_id, CASE WHEN i.doc_id % 19 <> 0 THEN i.last_changed_at END AS last_changed_at, i.last_seen_run_id, i.last_seen_at, p.deleted_at,
+  CASE WHEN i.doc_id % 4 = 1 THEN 'ARCHIVE' END AS archive_status, CASE WHEN i.doc_id % 8 = 1 THEN 'completed' END AS restore_state, CAST(NULL AS TIMESTAMP) AS restore_expiry, CASE WHEN i.doc_id % 3 = 0 THEN 'text/plain' END AS content_type, CASE WHEN i.doc_id % 3 = 0 THEN TIMESTAMP '2024-03-02' END AS head_enriched_at
+  FROM before p JOIN inv i USING (rel_key))"""
+_HEADS = "archive_status, restore_state, content_type, strftime(restore_expiry, '%Y-%m-%d') AS restore_expiry, strftime(head_enriched_at, '%Y-%m-%d') AS head_enriched_at"
+
+
 def _prior(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     before, after = views.snapshots(spark, sf_dir)
-    lineage = views.documents(spark, sf_dir).select("rel_key", "first_seen_run_id", "first_seen_at", "last_changed_run_id", "last_changed_at", "last_seen_run_id", "last_seen_at")
-    return before.drop("doc_id").join(lineage, "rel_key"), after
+    i = F.col("doc_id")
+    lineage = views.documents(spark, sf_dir).select(
+        "index_set_id", "rel_key", *[F.when(i % 7 != 0, F.col(c)).alias(c) for c in _LINEAGE[:2]], *[F.when(i % 19 != 0, F.col(c)).alias(c) for c in _LINEAGE[2:4]], *_LINEAGE[4:],
+        F.when(i % 4 == 1, "ARCHIVE").alias("archive_status"), F.when(i % 8 == 1, "completed").alias("restore_state"), F.lit(None).cast("timestamp_ntz").alias("restore_expiry"),
+        F.when(i % 3 == 0, "text/plain").alias("content_type"), F.when(i % 3 == 0, F.lit("2024-03-02").cast("timestamp_ntz")).alias("head_enriched_at"),
+    )
+    columns = ("index_set_id", "rel_key", *merge.FIELDS, *_LINEAGE, "deleted_at", *merge.HEAD)
+    return before.drop("doc_id").join(lineage, "rel_key").select(*columns), after
+
+
+def _days(*names: str):
+    return {c: F.date_format(c, "yyyy-MM-dd") for c in names}
+
+
+_DATED = ("last_modified", "first_seen_at", "last_changed_at", "last_seen_at", "deleted_at", "restore_expiry", "head_enriched_at")
 
 
 @_query(
-    """SELECT coalesce(p.rel_key, o.rel_key) AS rel_key, CASE WHEN o.rel_key IS NOT NULL THEN o.size_bytes ELSE p.size_bytes END AS size_bytes,
-    CASE WHEN p.rel_key IS NULL THEN 'run_9' ELSE i.first_seen_run_id END AS first_seen_run_id,
-    CASE WHEN p.rel_key IS NULL OR (o.rel_key IS NOT NULL AND (p.deleted_at IS NOT NULL OR p.size_bytes IS DISTINCT FROM o.size_bytes OR p.etag IS DISTINCT FROM o.etag OR p.storage_class IS DISTINCT FROM o.storage_class OR p.last_modified IS DISTINCT FROM o.last_modified)) THEN 'run_9' ELSE i.last_changed_run_id END AS last_changed_run_id,
-    CASE WHEN o.rel_key IS NOT NULL THEN 'run_9' ELSE i.last_seen_run_id END AS last_seen_run_id,
-    CASE WHEN o.rel_key IS NULL THEN strftime(p.deleted_at, '%Y-%m-%d') END AS deleted_at
-    FROM before p FULL OUTER JOIN after o ON p.rel_key = o.rel_key LEFT JOIN inv i ON i.rel_key = p.rel_key""",
+    """, m AS (SELECT p.index_set_id, coalesce(p.rel_key, o.rel_key) AS rel_key, o.rel_key IS NOT NULL AS seen, o.rel_key IS NOT NULL AND (p.rel_key IS NULL OR p.deleted_at IS NOT NULL OR p.size_bytes IS DISTINCT FROM o.size_bytes OR p.etag IS DISTINCT FROM o.etag OR p.storage_class IS DISTINCT FROM o.storage_class OR p.last_modified IS DISTINCT FROM o.last_modified) AS moved,
+      CASE WHEN o.rel_key IS NOT NULL THEN o.size_bytes ELSE p.size_bytes END AS size_bytes, CASE WHEN o.rel_key IS NOT NULL THEN o.etag ELSE p.etag END AS etag, CASE WHEN o.rel_key IS NOT NULL THEN o.storage_class ELSE p.storage_class END AS storage_class, CASE WHEN o.rel_key IS NOT NULL THEN o.last_modified ELSE p.last_modified END AS last_modified, p.* EXCLUDE (index_set_id, rel_key, size_bytes, etag, storage_class, last_modified)
+      FROM prior p FULL OUTER JOIN after o ON p.rel_key = o.rel_key)
+    SELECT index_set_id, rel_key, size_bytes, etag, storage_class, strftime(last_modified, '%Y-%m-%d') AS last_modified,
+      CASE WHEN seen THEN coalesce(first_seen_run_id, last_seen_run_id, 'run_9') ELSE first_seen_run_id END AS first_seen_run_id, strftime(CASE WHEN seen THEN coalesce(first_seen_at, last_seen_at, TIMESTAMP '2024-06-01') ELSE first_seen_at END, '%Y-%m-%d') AS first_seen_at,
+      CASE WHEN moved THEN 'run_9' WHEN seen THEN coalesce(last_changed_run_id, last_seen_run_id, 'run_9') ELSE last_changed_run_id END AS last_changed_run_id, strftime(CASE WHEN moved THEN TIMESTAMP '2024-06-01' WHEN seen THEN coalesce(last_changed_at, last_seen_at, TIMESTAMP '2024-06-01') ELSE last_changed_at END, '%Y-%m-%d') AS last_changed_at,
+      CASE WHEN seen THEN 'run_9' ELSE last_seen_run_id END AS last_seen_run_id, strftime(CASE WHEN seen THEN TIMESTAMP '2024-06-01' ELSE last_seen_at END, '%Y-%m-%d') AS last_seen_at, CASE WHEN NOT seen THEN strftime(deleted_at, '%Y-%m-%d') END AS deleted_at, """
+    + _HEADS
+    + " FROM m",
     DOCS,
     SNAPS,
+    PRIOR,
 )
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     prior, after = _prior(spark, sf_dir)
-    out = merge.upsert(prior, after, "run_9", "2024-06-01")
-    return out.select("rel_key", "size_bytes", "first_seen_run_id", "last_changed_run_id", "last_seen_run_id", _day("deleted_at"))
+    return merge.upsert(prior, after, "run_9", "2024-06-01").withColumns(_days(*_DATED))
 
 
 @_query(
@@ -187,15 +212,28 @@ def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.soft_delete(views.documents(spark, sf_dir), "run_3", "2024-06-01").select("rel_key", _day("deleted_at"))
 
 
-_COVERAGE = [("en", "confirmed", True, False, ["en/src1"]), ("fr/src2", "confirmed", True, False, []), ("de", "inferred", True, False, []), ("es", "confirmed", False, False, [])]
-_COVERED = "((rel_key LIKE 'en/%' AND rel_key NOT LIKE 'en/src1/%') OR rel_key LIKE 'fr/src2/%')"
+#: Scopes without and with a slash at the end, with blanks and a slash before it; entries that attest nothing, some with gaps that count all the same.
+_COVERAGE = [
+    ("en/src2", "confirmed", True, False, []),
+    (" /fr/", "confirmed", True, False, []),
+    ("de", "inferred", True, False, ["fr/src1"]),
+    ("de/src3/", "confirmed", False, False, None),
+    ("es", "confirmed", True, True, []),
+    ("en", "confirmed", True, False, ["fr/src12/", "/en/src2/00000022.txt"]),
+    ("", "confirmed", True, False, []),
+]
+COVERAGE = "coverage AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{b}', {c}, {w}, {'CAST(NULL AS VARCHAR[])' if g is None else 'CAST(' + str(g) + ' AS VARCHAR[])'})" for s, b, c, w, g in _COVERAGE) + ") t(scope, basis, complete, windowed, gaps))"
+_CLEAN = "regexp_replace(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'), '^/', '')"
+_HOLDS = "(p = '.' OR CASE WHEN ends_with(p, '/') THEN starts_with(rel_key, p) ELSE rel_key = p OR starts_with(rel_key, p || '/') END)"
+SCOPES = f"scopes AS (SELECT {_CLEAN.format('scope')} AS p FROM coverage WHERE basis = 'confirmed' AND complete AND NOT windowed AND coalesce(len(gaps), 0) = 0 AND {_CLEAN.format('scope')} <> ''), gaps AS (SELECT CASE WHEN coalesce({_CLEAN.format('g')}, '') = '' THEN '.' ELSE {_CLEAN.format('g')} END AS p FROM (SELECT unnest(gaps) AS g FROM coverage))"
+_COVERED = f"(EXISTS (SELECT 1 FROM scopes WHERE {_HOLDS}) AND NOT EXISTS (SELECT 1 FROM gaps WHERE {_HOLDS}))"
 
 
 def _coverage(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_COVERAGE, "scope string, basis string, complete boolean, windowed boolean, gaps array<string>")
 
 
-@_query(f"SELECT rel_key, CASE WHEN deleted_at IS NULL AND NOT EXISTS (SELECT 1 FROM after a WHERE a.rel_key = before.rel_key) AND {_COVERED} THEN '2024-06-01' ELSE strftime(deleted_at, '%Y-%m-%d') END AS deleted_at FROM before", DOCS, SNAPS)
+@_query(f"SELECT rel_key, CASE WHEN deleted_at IS NULL AND NOT EXISTS (SELECT 1 FROM after a WHERE a.rel_key = before.rel_key) AND {_COVERED} THEN '2024-06-01' ELSE strftime(deleted_at, '%Y-%m-%d') END AS deleted_at FROM before", DOCS, SNAPS, COVERAGE, SCOPES)
 def tombstones_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = views.snapshots(spark, sf_dir)
     return merge.tombstones(before, after, _coverage(spark), "2024-06-01").select("rel_key", _day("deleted_at"))
@@ -215,13 +253,13 @@ def compact_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rel_key", "event_type", "size_bytes", "observations", us("first_seen_at", "first_us"), us("last_changed_at", "changed_us"), us("last_seen_at", "last_us"), "enriched_size_bytes")
 
 
-_DELTA = """, d AS (SELECT coalesce(a.rel_key, b.rel_key) AS rel_key, CASE WHEN b.rel_key IS NOT NULL AND (a.rel_key IS NULL OR a.deleted_at IS NOT NULL) THEN 'added'
-  WHEN a.deleted_at IS NULL AND a.rel_key IS NOT NULL AND b.rel_key IS NOT NULL AND (a.size_bytes IS DISTINCT FROM b.size_bytes OR a.etag IS DISTINCT FROM b.etag OR a.storage_class IS DISTINCT FROM b.storage_class OR a.last_modified IS DISTINCT FROM b.last_modified) THEN 'changed'
-  WHEN a.deleted_at IS NULL AND a.rel_key IS NOT NULL AND b.rel_key IS NOT NULL THEN 'unchanged' WHEN a.rel_key IS NOT NULL AND a.deleted_at IS NULL THEN 'tombstoned' END AS kind
+_DELTA = """, d AS (SELECT coalesce(a.rel_key, b.rel_key) AS rel_key, CASE WHEN a.rel_key IS NULL AND b.deleted_at IS NOT NULL THEN 'error' WHEN b.rel_key IS NULL AND a.deleted_at IS NOT NULL THEN NULL
+  WHEN a.rel_key IS NULL THEN 'added' WHEN b.rel_key IS NULL THEN 'tombstoned' WHEN a.deleted_at IS NOT NULL AND b.deleted_at IS NULL THEN 'added' WHEN a.deleted_at IS NULL AND b.deleted_at IS NOT NULL THEN 'tombstoned'
+  WHEN a.size_bytes IS DISTINCT FROM b.size_bytes OR a.etag IS DISTINCT FROM b.etag OR a.storage_class IS DISTINCT FROM b.storage_class OR a.last_modified IS DISTINCT FROM b.last_modified THEN 'changed' ELSE 'unchanged' END AS kind
   FROM before a FULL OUTER JOIN after b ON a.rel_key = b.rel_key) """
 
 
-@_query(_DELTA + f"SELECT rel_key, kind, {_COVERED} AS covered FROM d WHERE kind IS NOT NULL", DOCS, SNAPS)
+@_query(_DELTA + f"SELECT rel_key, kind, {_COVERED} AS covered FROM d WHERE kind IS NOT NULL", DOCS, SNAPS, COVERAGE, SCOPES)
 def delta_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.compare(*views.snapshots(spark, sf_dir), _coverage(spark)).select("rel_key", "kind", "covered")
 
@@ -461,15 +499,8 @@ def restore_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", values.restore_state(header, F.lit("1999-01-01").cast("timestamp")).alias("state"))
 
 
-@_query("SELECT doc_id, CASE WHEN n_chars >= 1024 THEN printf('%.1fKiB', n_chars / 1024.0) ELSE n_chars || 'B' END AS shown, CAST(n_chars * 1000 AS BIGINT) AS parsed FROM documents WHERE n_chars % 8 <> 4")
-def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_chars")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(n % 8 != 4).select("doc_id", values.format_size(n).alias("shown"), values.size_of(F.concat(n.cast("string"), F.lit(" kB"))).alias("parsed"))
-
-
 @_query("SELECT doc_id, CASE WHEN n_chars >= 1024 THEN printf('%.1fKiB', n_chars / 1024.0) ELSE n_chars || 'B' END AS shown, CAST(n_chars * 1000 AS BIGINT) AS parsed FROM documents")
-def sizes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sizes over all documents."""
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", values.format_size(n).alias("shown"), values.size_of(F.concat(n.cast("string"), F.lit(" kB"))).alias("parsed"))
 

@@ -61,7 +61,8 @@ class Rewrite:
         return {g: F.when(self.matches(key), F.regexp_extract(key, self.pattern, k)) for k, g in enumerate(self.groups, 1) if g != "_"}
 
     def render(self, key: Column, given: dict[str, Column] | None = None) -> Column:
-        """The new key; null where the source doesn't match or a variable has no value."""
+        """The new key; null where the source, without slashes at its ends, doesn't match, a variable has no value, or nothing is left."""
+        key = F.trim(key, F.lit("/"))
         values = self.capture(key) | (given or {})
         if missing := self.outside - set(values):
             raise ValueError(f"no value for {sorted(missing)}")
@@ -70,7 +71,7 @@ class Rewrite:
             out += [F.lit(self.target[at : m.start()]), values[m[1]]]
             at = m.end()
         whole = F.concat(*out, F.lit(self.target[at:]))
-        return F.when(self.matches(key), F.trim(F.replace(whole, F.lit("//"), F.lit("/")), F.lit("/")))
+        return F.when(self.matches(key), F.nullif(F.trim(F.replace(whole, F.lit("//"), F.lit("/")), F.lit("/")), F.lit("")))
 
 
 def quarantine_key(prefix: str, reason: Column, key: Column) -> Column:

@@ -16,18 +16,19 @@ def atlas_id(set_id: Column, run_id: Column, recipe_digest: Column) -> Column:
 def build(rows: DataFrame, content: str, dimensions: dict[str, Column], shard: list[str], temporal: dict[str, str] | None = None) -> DataFrame:
     """rel_key, content_sha256, dimensions, shard and outcome (indexed, unresolved or invalid_temporal).
 
-    temporal names dimensions that must be a day or an instant.
+    temporal names dimensions that must be a day (2024-05-01) or an instant with its zone
+    (2024-05-01T10:00:00Z). A dimension that is null or blank is unresolved.
     """
     bad = F.lit(False)
     for name, kind in (temporal or {}).items():
         if kind not in ("day", "instant"):
             raise ValueError(f"unknown kind of time: {kind!r}")
-        value = dimensions[name]
-        fits = timestamp(value).isNotNull() & (value.rlike(r"^\d{4}-\d{2}-\d{2}$") if kind == "day" else value.rlike("[T ]"))
+        value = F.trim(dimensions[name])
+        fits = timestamp(value).isNotNull() & value.rlike(r"^\d{4}-\d{2}-\d{2}$" if kind == "day" else r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")
         bad = bad | ~F.coalesce(fits, F.lit(False))
     missing = F.lit(False)
     for value in dimensions.values():
-        missing = missing | value.isNull()
+        missing = missing | (F.coalesce(F.trim(value), F.lit("")) == "")
     named = F.create_map(*[x for k, v in dimensions.items() for x in (F.lit(k), v)])
     path = F.concat_ws("/", *[F.concat(F.lit(k + "="), shard_value(dimensions[k])) for k in shard])
     outcome = F.when(missing, "unresolved").when(bad, "invalid_temporal").otherwise("indexed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 from operator import and_, or_
@@ -81,23 +82,67 @@ def segments(value: Column, allow: Iterable[str] = (), deny: Iterable[str] = (),
     return yes & ~value.isin(list(deny)) & reduce(and_, [~glob(value, p) for p in glob_deny], F.lit(True))
 
 
-def covered(rows: DataFrame, coverage: DataFrame, key: str = "rel_key") -> DataFrame:
-    """rows with a column `covered`: a confirmed, complete, unwindowed scope holds the key, and no gap does.
+def _clean(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(path, r"^\s+|\s+$", ""), "^/", "")
 
-    coverage: scope, basis, complete, windowed, gaps (array). A scope holds itself and what lies
-    under it as a path; "." holds everything. Keys are looked up by each of their ancestors, an
-    equi-join that needs no bound on either side.
+
+def attested(coverage: DataFrame) -> DataFrame:
+    """What coverage says, as paths of two kinds: scopes that attest absence, and gaps.
+
+    coverage: scope, basis, complete, windowed, gaps (array). An entry attests only if it is
+    confirmed, complete, unwindowed, has a path, and has no gap at all. Gaps count whichever entry names
+    them; one without a path is a gap everywhere, "." stands for everything.
+    """
+    whole = (F.col("basis") == "confirmed") & F.col("complete") & ~F.coalesce("windowed", F.lit(False)) & (F.coalesce(F.size("gaps"), F.lit(0)) <= 0)
+    scopes = coverage.where(whole).select(F.lit("scope").alias("kind"), _clean(F.col("scope")).alias("path")).where("path != ''")
+    gaps = coverage.select(F.explode("gaps").alias("gap")).select(F.lit("gap").alias("kind"), F.coalesce(F.nullif(_clean(F.col("gap")), F.lit("")), F.lit(".")).alias("path"))
+    return scopes.union(gaps).distinct()
+
+
+def places(key: Column) -> Column:
+    """All paths that hold a key: itself and what stands before each slash, without and with that slash."""
+    parts = F.split(key, "/")
+    whole = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.concat(whole, F.transform(F.slice(whole, F.lit(1), F.size(parts) - 1), lambda p: F.concat(p, F.lit("/"))))
+
+
+#: Paths of coverage that are compiled into an expression at most; more are joined.
+COMPILED = 1000
+
+
+def covered(rows: DataFrame, coverage: DataFrame, key: str = "rel_key", name: str = "covered") -> DataFrame:
+    """rows with a column that says whether coverage attests a key's absence: some scope holds it and no gap does.
+
+    A path that ends with a slash holds all keys that begin with it, another one itself and what lies
+    under it. Few paths are tested row by row, with no shuffle; more by an equi-join with each of a
+    key's places.
     """
-    whole = coverage.where((F.col("basis") == "confirmed") & F.col("complete") & ~F.coalesce("windowed", F.lit(False)))
-    scopes = whole.select(F.regexp_replace("scope", "/+$", "").alias("path")).distinct()
-    gaps = whole.select(F.explode("gaps").alias("path")).select(F.regexp_replace("path", "/+$", "").alias("path")).distinct()
-    parts = F.split(F.col(key), "/")
-    above = F.concat(F.array(F.lit(".")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
-    up = rows.select(key).distinct().select(key, F.explode(above).alias("path"))
-    inside = up.join(scopes, "path", "left_semi").select(key).distinct()
-    outside = up.join(gaps, "path", "left_semi").select(key).distinct()
-    good = inside.join(outside, key, "left_anti").withColumn("covered", F.lit(True))
-    return rows.join(good, key, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    found = attested(coverage).limit(COMPILED + 1).collect()
+    above = places(F.col(key))
+    if len(found) <= COMPILED:
+
+        def held(kind: str) -> Column:
+            paths = [r["path"] for r in found if r["kind"] == kind]
+            return F.lit("." in paths) if "." in paths or not paths else F.exists(above, lambda p: p.isin(paths))
+
+        return rows.withColumn(name, F.coalesce(held("scope") & ~held("gap"), F.lit(False)))
+    up = rows.select(key).distinct().select(key, F.explode(F.array_append(above, F.lit("."))).alias("path")).join(attested(coverage), "path")
+    good = up.groupBy(F.col(key).alias("_key")).agg((F.count_if(F.col("kind") == "gap") == 0).alias("_good"))
+    both = rows.join(good, rows[key] == good["_key"], "left")
+    return both.select(*[rows[c] for c in rows.columns if c != name], F.coalesce("_good", F.lit(False)).alias(name))
+
+
+def attribution(key: Column, coverage: list[dict]) -> Column:
+    """The path of the first entry of a manifest's coverage that attests a key; null where none does, or a gap holds it."""
+    within = lambda path: F.lit(True) if path == "." else key.startswith(path) if path.endswith("/") else (key == path) | key.startswith(path + "/")
+    clean = lambda path: re.sub("^/", "", (path or "").strip())
+    gap = reduce(or_, [within(clean(g) or ".") for e in coverage for g in e.get("gaps") or ()], F.lit(False))
+    out = F.lit(None).cast("string")
+    for e in reversed(coverage):
+        path = clean(e.get("scope"))
+        if path and e.get("basis") == "confirmed" and e.get("complete") and not e.get("windowed") and not e.get("gaps"):
+            out = F.when(within(path), F.lit(path)).otherwise(out)
+    return F.when(~gap, out)
 
 
 def in_scope(key: Column, scopes: Iterable[str]) -> Column:

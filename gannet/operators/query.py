@@ -59,7 +59,7 @@ RULES = {
 
 
 def canonical(rows: DataFrame, rule: str = "min_key", limit: int | None = None) -> DataFrame:
-    """One row for each entity tag, chosen by the rule, with the number and keys of the others; rows without a tag pass as they are.
+    """One row for each entity tag, chosen by the rule, with the number and keys of the others; rows without a tag, or with a blank one, pass as they are.
 
     The choice is an aggregate of the least of a struct, so a tag's rows are folded before the
     shuffle and never sorted in one task. The keys of the others are gathered only for the
@@ -67,7 +67,7 @@ def canonical(rows: DataFrame, rule: str = "min_key", limit: int | None = None)
     """
     if rule not in RULES:
         raise ValueError(f"unknown rule: {rule!r}")
-    tagged = F.coalesce("etag", F.lit("")) != ""
+    tagged = F.coalesce(F.trim("etag"), F.lit("")) != ""
     micros = F.unix_micros(F.col("last_modified").cast("timestamp"))
     order = {"min_key": [], "min_modified": [F.coalesce(micros, F.lit(2**62))], "max_modified": [F.coalesce(-micros, F.lit(2**62))]}[rule]
     rank = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.col("rel_key").alias("key"))

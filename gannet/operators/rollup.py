@@ -31,8 +31,8 @@ def set_summary(rows: DataFrame, by: str = "index_set_id") -> DataFrame:
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
-    kinds = ("running", "success", "partial", "failed")
-    return runs.groupBy("index_set_id").agg(F.count("*").alias("runs"), *[F.count_if(F.col("status") == k).alias(k) for k in kinds])
+    kinds = ("running", "success", "partial", "failed", "failed-resumable")
+    return runs.groupBy("index_set_id").agg(F.count("*").alias("runs"), *[F.count_if(F.col("status") == k).alias(k.replace("-", "_")) for k in kinds])
 
 
 def top_level(rows: DataFrame) -> DataFrame:
@@ -75,8 +75,12 @@ def segment_stats(rows: DataFrame, segment: Column) -> DataFrame:
     )
 
 
-def crawl_summary(listed: DataFrame, matches: Column) -> DataFrame:
+def crawl_summary(listed: DataFrame, matches: Column, error: Column | None = None) -> DataFrame:
+    """listed, matched, bytes, and errors where a column tells what failed; a row that is an error isn't a listed object."""
     yes = F.coalesce(matches, F.lit(False))
+    if error is not None:
+        good = error.isNull()
+        return listed.agg(F.count_if(good).alias("listed"), F.count_if(good & yes).alias("matched"), F.coalesce(F.sum(F.when(good & yes, F.col("size_bytes"))), F.lit(0)).alias("bytes"), F.count_if(~good).alias("errors"))
     return listed.agg(F.count("*").alias("listed"), F.count_if(yes).alias("matched"), F.coalesce(F.sum(F.when(yes, F.col("size_bytes"))), F.lit(0)).alias("bytes"))
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gannet.functions.globs import subsume
+from gannet.functions.globs import normalise, subsume
 
 MAX_LANES = 64  # fixed value
 
@@ -26,8 +26,29 @@ def digest(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-def index_set_id(base_uri: str, provider: str, params: dict) -> str:
-    return "idx_" + digest({"base_uri": base_uri, "provider": provider, "build_params": dict(sorted(params.items()))})
+def _patterns(given: list[str]) -> list[str]:
+    return sorted({x for x in (normalise(p.strip()).removeprefix("/") for p in given if p.strip()) if x})
+
+
+def index_set_id(base_uri: str, provider: str, build: dict, place: dict | None = None, path_date: dict | None = None, version_key: str = "tool_version") -> str:
+    """The identity of an index set, hashed from what it was built from.
+
+    place: storage_provider, cloud_provider, region_kind, region, endpoint_host. build: source_type,
+    schema_version, version, includes, excludes, include_hidden, filters_hash, scope_hash; version
+    is hashed under version_key. path_date: method, regex, segment_index. Empty values that aren't always there are left out.
+    """
+    text = lambda d, k: str(d.get(k) or "").strip()
+    some = lambda pairs: {k: v for k, v in pairs if v}
+    place = place or {}
+    uri = base_uri.strip()
+    where = some((k, text(place, k)) for k in ("storage_provider", "cloud_provider", "region_kind", "region")) | some([("endpoint_host", text(place, "endpoint_host").lower())])
+    made = {"source_type": text(build, "source_type"), "schema_version": int(build.get("schema_version") or 0)} | some([(version_key, text(build, "version"))])
+    made |= {"includes": _patterns(build.get("includes") or [])} | some([("excludes", _patterns(build.get("excludes") or []))])
+    made |= {"include_hidden": bool(build.get("include_hidden"))} | some((k, text(build, k)) for k in ("filters_hash", "scope_hash"))
+    payload = {"base_uri": uri if not uri or uri.endswith("/") else uri + "/", "provider": provider.strip(), **where, "build": made}
+    if path_date:
+        payload["path_date"] = {"method": text(path_date, "method")} | some([("regex", text(path_date, "regex")), ("segment_index", int(path_date.get("segment_index") or 0))])
+    return "idx_" + digest(payload)
 
 
 @dataclass(frozen=True)

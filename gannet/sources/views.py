@@ -11,6 +11,7 @@ RUNS = [
     ("run_2", "set_a", "success", "2024-02-01 00:00:00"),
     ("run_3", "set_a", "failed", "2024-03-01 00:00:00"),
     ("run_4", "set_b", "partial", "2024-02-15 00:00:00"),
+    ("run_5", "set_b", "failed-resumable", "2024-01-20 00:00:00"),
 ]
 RUNS_SQL = "runs AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', TIMESTAMP '{d}')" for a, b, c, d in RUNS) + ") t(run_id, index_set_id, status, started_at))"
 
@@ -38,7 +39,7 @@ inv AS (
 #: A snapshot before and one after: rows come, go and change by their id.
 SNAPSHOTS_SQL = """
 before AS (SELECT rel_key, size_bytes, etag, storage_class, last_modified, CASE WHEN doc_id % 10 = 4 THEN TIMESTAMP '2024-01-01' END AS deleted_at, doc_id FROM inv WHERE doc_id % 10 < 8),
-after AS (SELECT rel_key, CASE WHEN doc_id % 5 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, etag, storage_class, last_modified, CAST(NULL AS TIMESTAMP) AS deleted_at, doc_id FROM inv WHERE doc_id % 10 >= 2)"""
+after AS (SELECT rel_key, CASE WHEN doc_id % 5 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, etag, storage_class, last_modified, CASE WHEN doc_id % 20 IN (4, 5) THEN TIMESTAMP '2024-05-01' END AS deleted_at, doc_id FROM inv WHERE doc_id % 10 >= 2)"""
 
 JOURNAL_SQL = """
 journal AS (
@@ -96,7 +97,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     fields = ("rel_key", "size_bytes", "etag", "storage_class", "last_modified")
     before = inv.where(i % 10 < 8).select(*fields, F.when(i % 10 == 4, _at("2024-01-01")).alias("deleted_at"), "doc_id")
     after = inv.where(i % 10 >= 2).withColumn("size_bytes", F.when(i % 5 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
-    return before, after.select(*fields, F.lit(None).cast("timestamp_ntz").alias("deleted_at"), "doc_id")
+    return before, after.select(*fields, F.when((i % 20).isin(4, 5), _at("2024-05-01")).alias("deleted_at"), "doc_id")
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_merge_round(spark, inv):
 
 
 def test_coverage(spark, inv):
-    cover = spark.createDataFrame([("a", "confirmed", True, False, ["a/2.txt"]), ("b", "inferred", True, False, [])], "scope string, basis string, complete boolean, windowed boolean, gaps array<string>")
+    cover = spark.createDataFrame([("a", "confirmed", True, False, []), ("b", "inferred", True, False, ["a/2.txt"])], "scope string, basis string, complete boolean, windowed boolean, gaps array<string>")
     got = {r["rel_key"]: r["covered"] for r in predicates.covered(inv, cover).collect()}
     assert got == {"a/1.txt": True, "a/2.txt": False, "b/.h/3.txt": False, "b/4.csv": False, "top": False}
     root = spark.createDataFrame([(".", "confirmed", True, False, [])], cover.schema)
@@ -79,6 +79,87 @@ def test_coverage(spark, inv):
     assert sorted(keys(merge.tombstones(inv, none, cover, "2024-05-01").where("deleted_at = timestamp_ntz'2024-05-01'"))) == ["a/1.txt"]
 
 
+@pytest.mark.parametrize("compiled", [1000, 0])
+def test_coverage_rules(spark, monkeypatch, compiled):
+    """Gaps of any entry count and an entry with one attests nothing; compiled and joined alike."""
+    monkeypatch.setattr(predicates, "COMPILED", compiled)
+    schema = "scope string, basis string, complete boolean, windowed boolean, gaps array<string>"
+    keys_of = spark.createDataFrame([(k,) for k in ("en/src1/x", "en/src2/x", "en/a/x", "en", "en/", "enx", "top")] + [(None,)], "rel_key string")
+
+    def attested(*entries):
+        cover = spark.createDataFrame([(s, b, c, w, g) for s, b, c, w, g in entries], schema)
+        out = predicates.covered(keys_of, cover).collect()
+        assert len(out) == 8 and not [r for r in out if r["rel_key"] is None and r["covered"] and "." not in [e[0] for e in entries]]
+        return sorted(r["rel_key"] for r in out if r["covered"] and r["rel_key"])
+
+    good = ("confirmed", True, False)
+    assert attested(("en", *good, ["en/src1"])) == []
+    assert attested(("en", *good, []), ("x", "inferred", True, False, ["en/a"])) == ["en", "en/", "en/src1/x", "en/src2/x"]
+    assert attested(("en/", *good, None)) == ["en/", "en/a/x", "en/src1/x", "en/src2/x"]
+    assert attested((" /en/src2", *good, [])) == ["en/src2/x"]
+    assert attested(("en", *good, []), ("x", *good, [None])) == [] == attested(("en", *good, []), ("x", "inferred", False, True, [""]))
+    assert attested(("en", "confirmed", True, True, []), ("en", "confirmed", False, False, []), ("", *good, [])) == []
+    assert len(attested((".", *good, []))) == 7
+    manifest = [{"scope": "en/src1", "basis": "confirmed", "complete": True}, {"scope": "/en/", "basis": "confirmed", "complete": True}, {"scope": "q", "gaps": ["en/a"]}]
+    names = {r[0]: r[1] for r in keys_of.select("rel_key", predicates.attribution(F.col("rel_key"), manifest)).collect()}
+    assert (names["en/src1/x"], names["en/src2/x"], names["en/a/x"], names["en"]) == ("en/src1", "en/", None, None)
+
+
+def test_fold(spark):
+    """Observations, enrichment and tombstones in one step; the same rows as an upsert, an enrichment and a deletion."""
+    old, at, day = datetime(2024, 1, 1), datetime(2024, 2, 1, 1), datetime(2023, 1, 1)
+    lineage = ("r0", old, "r0", old, "r0", old)
+    given = [("set", f"data/{k}.xml", n, f"e-{k}", "STANDARD", day, *lineage, gone, None, None, None, kind, None) for k, n, gone, kind in (("unchanged", 10, None, None), ("changed", 10, None, None), ("reappeared", 5, old, None), ("missing", 7, None, None), ("enrich-only", 8, None, "a/x"))]
+    given.append(("set", "other/far", 1, "e", None, day, *lineage, None, None, None, None, None, None))
+    lineage_ddl = "first_seen_run_id string, first_seen_at timestamp_ntz, last_changed_run_id string, last_changed_at timestamp_ntz, last_seen_run_id string, last_seen_at timestamp_ntz"
+    head_ddl = "archive_status string, restore_state string, restore_expiry timestamp_ntz, content_type string, head_enriched_at timestamp_ntz"
+    prior = spark.createDataFrame(given, f"index_set_id string, rel_key string, size_bytes long, etag string, storage_class string, last_modified timestamp_ntz, {lineage_ddl}, deleted_at timestamp_ntz, {head_ddl}")
+    none = (None,) * 5
+    seen = [("data/unchanged.xml", 10, "e-unchanged"), ("data/changed.xml", 20, "new"), ("data/changed.xml", 20, "new"), ("data/reappeared.xml", 5, "e-reappeared"), ("data/new.xml", 1, "created")]
+    log = [(k, "observe", "j_a", i, at, n, e, "STANDARD", day, *none) for i, (k, n, e) in enumerate(seen, 1)]
+    log += [(k, "enrich", j, i, at, None, None, None, None, None, "available", None, kind, None) for k, j, i, kind in (("data/new.xml", "j_b", 1, "b/y"), ("data/new.xml", "j_a", 9, "lost"), ("data/enrich-only.xml", "j_b", 2, "b/z"), ("data/nobody", "j_b", 3, "c"))]
+    journal = spark.createDataFrame(log, f"rel_key string, op string, journal_id string, sequence long, at timestamp_ntz, size_bytes long, etag string, storage_class string, last_modified timestamp_ntz, {head_ddl}")
+    cover = spark.createDataFrame([("data/", "confirmed", True, False, [])], "scope string, basis string, complete boolean, windowed boolean, gaps array<string>")
+    out = merge.fold(prior, journal, cover, "r1", "2024-02-01")
+    assert out.columns == prior.columns
+    got = {r["rel_key"].removeprefix("data/").removesuffix(".xml"): r for r in out.collect()}
+    assert sorted(got) == ["changed", "enrich-only", "missing", "new", "other/far", "reappeared", "unchanged"]
+    start = datetime(2024, 2, 1)
+    assert {k for k, r in got.items() if r["deleted_at"] == start} == {"missing", "enrich-only"} and sum(r["deleted_at"] is not None for r in got.values()) == 2
+    assert [got[k]["last_changed_run_id"] for k in ("unchanged", "changed", "reappeared", "new", "missing")] == ["r0", "r1", "r1", "r1", "r0"]
+    assert (got["new"]["content_type"], got["new"]["head_enriched_at"], got["enrich-only"]["content_type"], got["enrich-only"]["restore_state"]) == ("b/y", at, "b/z", "available")
+    assert (got["new"]["first_seen_run_id"], got["new"]["first_seen_at"], got["changed"]["size_bytes"], got["unchanged"]["last_seen_at"]) == ("r1", at, 20, at)
+    heads = merge.fold(prior, journal.where("op = 'enrich'"), cover, "r1", "2024-02-01", enrich_only=True)
+    assert heads.where("deleted_at is not null").count() == 1 and heads.count() == 6
+    with pytest.raises(ValueError):
+        merge.fold(prior, journal, cover, "r1", "2024-02-01", enrich_only=True)
+    empty = merge.fold(prior.limit(0), journal.limit(0), cover, "r1", "2024-02-01")
+    assert empty.count() == 0
+    runs = spark.createDataFrame([("set", "r9", datetime(2023, 1, 1)), ("set", "r8", datetime(2023, 2, 1))], "index_set_id string, run_id string, started_at timestamp_ntz")
+    bare = prior.withColumns({c: F.lit(None).cast(prior.schema[c].dataType) for c in ("first_seen_run_id", "first_seen_at", "last_changed_run_id", "last_changed_at", "last_seen_run_id")})
+    filled = merge.backfill(bare, runs).first()
+    assert (filled["first_seen_run_id"], filled["first_seen_at"], filled["last_changed_run_id"], filled["last_changed_at"]) == ("r9", old, "r9", old)
+
+
+def test_upsert_keeps_what_it_does_not_set(spark, inv):
+    lineage = inv.withColumns({c: F.lit(None).cast("string" if c.endswith("id") else "timestamp_ntz") for c in merge.LINEAGE} | {"last_seen_run_id": F.lit("r0"), "content_type": F.lit("a/b")})
+    seen = spark.createDataFrame([("a/1.txt", 99, 1), ("a/1.txt", 10, 2), ("n", 1, 1)], "rel_key string, size_bytes long, nth int").withColumns({"etag": F.lit("e1"), "storage_class": F.lit("STANDARD"), "last_modified": F.lit("2024-01-01").cast("timestamp_ntz")})
+    out = {r["rel_key"]: r for r in merge.upsert(lineage, seen, "r1", "2024-03-01", order="nth").collect()}
+    assert (out["a/1.txt"]["size_bytes"], out["a/1.txt"]["content_type"], out["n"]["content_type"]) == (10, "a/b", None)
+    assert (out["a/1.txt"]["first_seen_run_id"], out["a/1.txt"]["last_changed_run_id"], out["top"]["first_seen_run_id"]) == ("r0", "r0", None)
+
+
+def test_delta_of_dead_rows(spark):
+    before = rows(spark, ("same", 1, "e", None, None, "2024-01-01"), ("moved", 1, "e", None, None, "2024-01-01"), ("back", 1, "e", None, None, "2024-01-01"), ("gone", 1, "e", None, None, "2024-01-01"))
+    after = rows(spark, ("same", 1, "e", None, None, "2024-01-01"), ("moved", 2, "e", None, None, "2024-01-01"), ("back", 1, "e", None, None, None), ("ghost", 1, "e", None, None, "2024-01-01"))
+    assert {r["rel_key"]: r["kind"] for r in delta.compare(before, after).collect()} == {"same": "unchanged", "moved": "changed", "back": "added", "ghost": "error"}
+    good = {"index_set_id": "s", "run_id": "a", "coverage": [{"scope": "x", "basis": "confirmed", "complete": True}]}
+    delta.check_snapshots(good, good | {"run_id": "b", "parents": ["a"]}, parent_needed=True)
+    for bad in ({"run_id": "a"}, {"run_id": "b", "index_set_id": "t"}, {"run_id": "b", "coverage": []}, {"run_id": "b", "coverage": [{"scope": "x", "basis": "confirmed", "complete": True, "gaps": ["y"]}]}):
+        with pytest.raises(ValueError):
+            delta.check_snapshots(good, good | bad)
+
+
 def test_journal(spark):
     j = spark.createDataFrame([("k", "observe", "j2", 1, 5), ("k", "observe", "j1", 1, 3), ("k", "observe", "j1", 2, 3), ("k", "enrich", "j1", 3, 9), ("x", "enrich", "j1", 4, 1)], "rel_key string, op string, journal_id string, sequence long, size_bytes long")
     j = j.withColumn("at", F.timestamp_seconds("sequence").cast("timestamp_ntz"))
