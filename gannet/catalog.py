@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gannet.functions import derive, templates, values
+from gannet.functions import derive, metadata, templates, values
 from gannet.operators import atlas, delta, merge, predicates, reflow, retention, rollup
 from gannet.operators import query as Q
 from gannet.plans import partition, scope
-from gannet.sources import views
+from gannet.sources import records, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -505,6 +505,197 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", values.format_size(n).alias("shown"), values.size_of(F.concat(n.cast("string"), F.lit(" kB"))).alias("parsed"))
 
 
+#: A run's journal over documents: most are observed, some twice, others enriched.
+LOG = """log AS (
+  SELECT rel_key, 'observe' AS op, 'j' || CAST(doc_id % 3 AS VARCHAR) AS journal_id, doc_id AS sequence, TIMESTAMP '2024-06-01' + to_seconds(doc_id % 5000) AS seen, size_bytes, etag, storage_class, last_modified, NULL AS content_type FROM after
+  UNION ALL SELECT rel_key, 'observe', 'k0', doc_id, TIMESTAMP '2024-06-02' + to_seconds(doc_id % 5000), CASE WHEN doc_id % 2 = 0 THEN size_bytes + 5 ELSE size_bytes END, etag, storage_class, last_modified, NULL FROM after WHERE doc_id % 7 = 1
+  UNION ALL SELECT rel_key, 'enrich', 'e0', doc_id, TIMESTAMP '2024-06-03' + to_seconds(doc_id % 5000), NULL, NULL, NULL, NULL, 'text/html' FROM inv WHERE doc_id % 4 = 2)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after, inv = views.snapshots(spark, sf_dir)[1], views.documents(spark, sf_dir)
+    i = F.col("doc_id")
+    at = lambda day: F.expr(f"timestamp_ntz'{day} 00:00:00' + make_dt_interval(0, 0, 0, cast(doc_id % 5000 as decimal(18, 6)))").alias("at")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("archive_status", "string"), ("restore_state", "string"), ("restore_expiry", "timestamp_ntz"))]
+    end = [*none, F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("timestamp_ntz").alias("head_enriched_at")]
+    first = after.select("rel_key", F.lit("observe").alias("op"), F.concat(F.lit("j"), (i % 3).cast("string")).alias("journal_id"), i.alias("sequence"), at("2024-06-01"), *merge.FIELDS, *end)
+    again = after.where(i % 7 == 1).select("rel_key", F.lit("observe"), F.lit("k0"), i, at("2024-06-02"), F.when(i % 2 == 0, F.col("size_bytes") + 5).otherwise(F.col("size_bytes")), *merge.FIELDS[1:], *end)
+    heads = inv.where(i % 4 == 2).select("rel_key", F.lit("enrich"), F.lit("e0"), i, at("2024-06-03"), F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz"), *none, F.lit("text/html"), F.lit(None).cast("timestamp_ntz"))
+    return first.union(again).union(heads)
+
+
+@_query(
+    """, st AS (SELECT l.*, lag(struct_pack(a := l.size_bytes, b := l.etag, c := l.storage_class, d := l.last_modified)) OVER w AS was, row_number() OVER w AS n, struct_pack(a := l.size_bytes, b := l.etag, c := l.storage_class, d := l.last_modified) AS now_, p.rel_key AS known, p.deleted_at AS dead, struct_pack(a := p.size_bytes, b := p.etag, c := p.storage_class, d := p.last_modified) AS before_
+      FROM log l LEFT JOIN prior p USING (rel_key) WHERE op = 'observe' WINDOW w AS (PARTITION BY l.rel_key ORDER BY journal_id, sequence)),
+    o AS (SELECT rel_key, arg_max(size_bytes, (journal_id, sequence)) AS size_bytes, arg_max(seen, (journal_id, sequence)) AS last_at, arg_min(seen, (journal_id, sequence)) AS first_at,
+      arg_max(seen, (journal_id, sequence)) FILTER (WHERE CASE WHEN n > 1 THEN now_ IS DISTINCT FROM was ELSE known IS NULL OR dead IS NOT NULL OR now_ IS DISTINCT FROM before_ END) AS moved_at FROM st GROUP BY rel_key),
+    e AS (SELECT rel_key, max(seen) AS head_at FROM log WHERE op = 'enrich' GROUP BY 1), m AS (SELECT coalesce(p.rel_key, o.rel_key) AS rel_key, o.rel_key IS NOT NULL AS seen_, p.* EXCLUDE (rel_key, size_bytes), o.* EXCLUDE (rel_key, size_bytes), CASE WHEN o.rel_key IS NULL THEN p.size_bytes ELSE o.size_bytes END AS size_bytes FROM prior p FULL OUTER JOIN o ON p.rel_key = o.rel_key)
+    SELECT coalesce(index_set_id, 'set_new') AS index_set_id, m.rel_key, size_bytes, CASE WHEN seen_ THEN coalesce(first_seen_run_id, last_seen_run_id, 'run_9') ELSE first_seen_run_id END AS first_seen_run_id,
+      CASE WHEN seen_ THEN CASE WHEN moved_at IS NOT NULL THEN 'run_9' ELSE coalesce(last_changed_run_id, last_seen_run_id, 'run_9') END ELSE last_changed_run_id END AS last_changed_run_id,
+      epoch_us(CASE WHEN seen_ THEN coalesce(first_seen_at, last_seen_at, first_at) ELSE first_seen_at END) AS first_us, epoch_us(CASE WHEN seen_ THEN coalesce(moved_at, last_changed_at, last_seen_at, first_at) ELSE last_changed_at END) AS changed_us, epoch_us(CASE WHEN seen_ THEN last_at ELSE last_seen_at END) AS last_us,
+      CASE WHEN seen_ THEN NULL WHEN deleted_at IS NULL AND """
+    + _COVERED.replace("rel_key", "m.rel_key")
+    + """ THEN '2024-06-01' ELSE strftime(deleted_at, '%Y-%m-%d') END AS deleted_at, CASE WHEN e.rel_key IS NULL THEN content_type ELSE 'text/html' END AS content_type, CASE WHEN e.rel_key IS NULL THEN archive_status END AS archive_status, epoch_us(CASE WHEN e.rel_key IS NULL THEN head_enriched_at ELSE head_at END) AS head_us
+    FROM m LEFT JOIN e ON e.rel_key = m.rel_key""",
+    DOCS,
+    SNAPS,
+    PRIOR,
+    LOG,
+    COVERAGE,
+    SCOPES,
+)
+def compact_onto_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merge.fold(_prior(spark, sf_dir)[0], _log(spark, sf_dir), _coverage(spark), "run_9", "2024-06-01", index_set_id="set_new")
+    us = lambda c, name: F.unix_micros(F.col(c).cast("timestamp")).alias(name)
+    return out.select("index_set_id", "rel_key", "size_bytes", "first_seen_run_id", "last_changed_run_id", us("first_seen_at", "first_us"), us("last_changed_at", "changed_us"), us("last_seen_at", "last_us"), _day("deleted_at"), "content_type", "archive_status", us("head_enriched_at", "head_us"))
+
+
+@_query("SELECT rel_key, CASE WHEN doc_id % 5 = 0 THEN 'text/csv' ELSE p.content_type END AS content_type, CASE WHEN doc_id % 5 <> 0 THEN p.restore_state END AS restore_state FROM prior p JOIN inv USING (rel_key)", DOCS, SNAPS, PRIOR)
+def enrich_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = views.documents(spark, sf_dir).where("doc_id % 5 = 0").select("rel_key", F.lit("text/csv").alias("content_type"), *[F.lit(None).cast(t).alias(c) for c, t in (("archive_status", "string"), ("restore_state", "string"), ("restore_expiry", "timestamp_ntz"), ("head_enriched_at", "timestamp_ntz"))])
+    return merge.enrich(_prior(spark, sf_dir)[0], heads).select("rel_key", "content_type", "restore_state")
+
+
+@_query("SELECT rel_key, strftime(coalesce(first_seen_at, last_seen_at), '%Y-%m-%d') AS first_seen_at, coalesce(last_changed_run_id, last_seen_run_id) AS last_changed_run_id FROM prior", DOCS, SNAPS, PRIOR)
+def backfill_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.backfill(_prior(spark, sf_dir)[0], views.runs(spark)).select("rel_key", _day("first_seen_at"), "last_changed_run_id")
+
+
+@_query("SELECT rel_key, content_type FROM prior WHERE deleted_at IS NULL AND head_enriched_at >= TIMESTAMP '2024-03-01'", DOCS, SNAPS, PRIOR)
+def idx_query_enriched_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.run(_prior(spark, sf_dir)[0], Q.Query(enriched_after="2024-03-01"), ("rel_key", "content_type"))
+
+
+@_query("SELECT run_id, index_set_id, status FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 3", RUNS)
+def run_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.run_list(views.runs(spark), limit=3).select("run_id", "index_set_id", "status")
+
+
+_TREE = ", kept AS (SELECT rel_key, size_bytes FROM inv WHERE starts_with(rel_key, 'A/') AND NOT regexp_matches(rel_key, '^A/F/[^/]*-0[1-6]-')), f AS (SELECT regexp_extract(rel_key, '^(.*/)?[^/]*$', 1) AS prefix, count(*) AS n FROM kept GROUP BY 1), c AS (SELECT DISTINCT array_to_string(list_slice(string_split(rel_key, '/'), 1, n), '/') || '/' AS child FROM kept, (SELECT unnest(range(1, 4)) AS n)), u AS (SELECT regexp_extract(child, '^(.*/)?[^/]+/$', 1) AS prefix, count(*) AS n FROM c GROUP BY 1), t AS (SELECT coalesce(f.prefix, u.prefix) AS prefix, coalesce(f.n, 0) AS direct_objects, coalesce(u.n, 0) AS child_prefixes FROM f FULL OUTER JOIN u ON f.prefix = u.prefix) "
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return rollup.filtered_tree(views.lines(spark, sf_dir), 3, predicates.match(F.col("rel_key"), ["A/**"], ["A/F/*-0[1-6]-*/**"]), 100)
+
+
+@_query(_TREE + "SELECT prefix, direct_objects, child_prefixes FROM t ORDER BY prefix LIMIT 100", LINES)
+def tree_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir)[0].select("prefix", "direct_objects", "child_prefixes")
+
+
+@_query(_TREE + "SELECT count(*) AS prefixes, CAST(sum(direct_objects) AS BIGINT) AS objects, count(*) > 100 AS truncated FROM t", LINES)
+def tree_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir)[1]
+
+
+@_query("SELECT count(*) AS prefixes, CAST(sum(n) AS BIGINT) AS objects, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT DISTINCT array_to_string(list_slice(string_split(rel_key, '/'), 1, n), '/') || CASE WHEN n > 0 THEN '/' ELSE '' END AS prefix FROM inv, (SELECT unnest(range(0, 4)) AS n)) LEFT JOIN (SELECT regexp_extract(rel_key, '^(.*/)?[^/]*$', 1) AS prefix, count(*) AS n, sum(size_bytes) AS b FROM inv GROUP BY 1) USING (prefix)", LINES)
+def tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.tree_totals(rollup.direct_prefixes(views.lines(spark, sf_dir)))
+
+
+@_query("SELECT rel_key, copies FROM (SELECT rel_key, 1 AS copies FROM inv WHERE coalesce(trim(etag), '') = '' UNION ALL SELECT min(rel_key), count(*) FROM inv WHERE coalesce(trim(etag), '') <> '' GROUP BY etag) ORDER BY rel_key LIMIT 25", DOCS)
+def canonical_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.canonical(views.documents(spark, sf_dir), "min_key", limit=25).select("rel_key", "copies")
+
+
+@_query("SELECT journal_id, count(*) AS records, min(sequence) AS low, max(sequence) AS high, count(DISTINCT sequence) AS kinds FROM journal GROUP BY 1 HAVING min(sequence) <> 1 OR max(sequence) <> count(*) OR count(DISTINCT sequence) <> count(*)", JOURNAL)
+def journal_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.broken_sequences(views.journal(spark, sf_dir))
+
+
+@_query("SELECT journal_id, op, count(*) AS n FROM journal GROUP BY 1, 2", JOURNAL)
+def journal_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.journal(spark, sf_dir)
+    return merge.union_journals(*[rows.where(F.col("journal_id") == j) for j in ("j0", "j1", "j2")]).groupBy("journal_id", "op").agg(F.count("*").alias("n"))
+
+
+@_query(
+    "SELECT rel_key, CASE WHEN doc_id % 6 = 0 THEN 'held/late/' || rel_key WHEN doc_id % 6 = 1 THEN 'own/' || doc_id ELSE split_part(rel_key, '/', 2) || '/' || split_part(rel_key, '/', 3) END AS dest_key FROM inv",
+    DOCS,
+)
+def route_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, i = F.col("rel_key"), F.col("doc_id")
+    explicit = F.when(i % 6 == 1, F.concat(F.lit("own/"), i.cast("string"))).otherwise("")
+    rewritten = templates.Rewrite("{_}/{source}/{name}", "{source}/{name}").render(key)
+    routed = templates.destination(F.when(i % 6 == 0, "quarantine").otherwise("normal"), templates.quarantine_key("/held/", F.lit("late"), F.concat(F.lit("/"), key)), explicit, rewritten)
+    return views.documents(spark, sf_dir).select("rel_key", routed.alias("dest_key"))
+
+
+@_query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || '-' || (o_orderkey % 7) ELSE CAST(o_custkey AS VARCHAR) END AS tag, o_orderkey % 3 = 0 AS multipart FROM orders",
+)
+def etag_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    raw = F.when(i % 3 == 0, F.concat(F.lit(' "'), c, F.lit("-"), (i % 7).cast("string"), F.lit('"'))).when(i % 3 == 1, F.concat(F.lit('W/"'), c, F.lit('" '))).otherwise(c)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", values.etag(raw).alias("tag"), values.is_multipart(raw).alias("multipart"))
+
+
+@_query("SELECT event_id, CAST(event_id AS VARCHAR) || event_type AS label, json_extract_string(props, '$.k') AS k, CASE WHEN event_id % 2 = 0 THEN 'kept' END AS old, 'given' AS owner FROM events")
+def metadata_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = F.map_filter(F.create_map(F.lit("props"), F.col("props"), F.lit("old"), F.when(F.col("event_id") % 2 == 0, "kept"), F.lit("owner"), F.lit("was")), lambda k, v: v.isNotNull())
+    system = {"id": F.col("event_id").cast("string"), "type": F.col("event_type")}
+    made = metadata.apply_policy(meta, "merge", {"owner": metadata.expression("'given'", meta, system)})
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", metadata.expression("sys.id + sys.type", meta, system).alias("label"), metadata.expression("meta.props.k", meta, system).alias("k"), F.try_element_at(made, F.lit("old")).alias("old"), F.try_element_at(made, F.lit("owner")).alias("owner"))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 9 AS VARCHAR) END AS inner_value FROM events")
+def xml_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document in five isn't well-formed."""
+    i = F.col("event_id")
+    document = F.concat(F.lit("<r><kind> "), "event_type", F.lit("</kind><a><b>"), (i % 9).cast("string"), F.lit("</b><b>no</b></a>"), F.when(i % 5 == 0, "").otherwise("</r>"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", derive.xml_path(document, "//kind").alias("kind"), derive.xml_path(document, "/r/a/b").alias("inner_value"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'four' WHEN doc_id % 3 = 0 THEN 'three' END AS value, CASE WHEN doc_id % 4 = 0 THEN 1 WHEN doc_id % 3 = 0 THEN 2 END AS place, CASE WHEN doc_id % 4 = 0 OR doc_id % 3 = 0 THEN 'normal' ELSE 'quarantine' END AS routing FROM documents")
+def extract_first_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    value, place = derive.first_of(F.when(i % 4 == 0, "four"), F.when(i % 3 == 0, "three"))
+    _, _, routing = derive.route({"value": value}, {"value": "quarantine"})
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", value.alias("value"), place.alias("place"), routing.alias("routing"))
+
+
+@_query("SELECT DISTINCT etag FROM inv WHERE deleted_at IS NOT NULL AND etag IS NOT NULL AND etag NOT IN (SELECT etag FROM inv WHERE deleted_at IS NULL AND etag IS NOT NULL)", DOCS)
+def retained_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.documents(spark, sf_dir).where("etag is not null")
+    return retention.retained(rows.where("deleted_at is not null").select("etag").distinct(), rows.where("deleted_at is null"), "etag")
+
+
+@_query("SELECT index_set_id, count(*) AS n FROM inv WHERE index_set_id <> 'set_b' GROUP BY 1", DOCS)
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dropped = views.runs(spark).where("index_set_id = 'set_b'").select("index_set_id")
+    return retention.cascade(views.documents(spark, sf_dir), dropped).groupBy("index_set_id").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT storage_class AS kind, count(*) AS artifacts, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM inv GROUP BY 1", DOCS)
+def artifact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.artifact_summary(views.documents(spark, sf_dir).withColumnRenamed("storage_class", "kind"))
+
+
+@_query("SELECT rel_key, size_bytes, storage_class, etag FROM inv WHERE storage_class = 'GLACIER' AND (starts_with(rel_key, 'en/src1') OR starts_with(rel_key, 'fr/'))", DOCS)
+def enrichment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicates.enrichment_candidates(views.documents(spark, sf_dir), predicates.storage_class(F.col("storage_class"), ["GLACIER", ""]), predicates.in_scope(F.col("rel_key"), ["en/src1", "fr/"]))
+
+
+@_query("SELECT starts_with(rel_key, 'en/src_') AS inside, starts_with(rel_key, '%') AS odd, count(*) AS n FROM inv GROUP BY 1, 2", DOCS)
+def base_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base prefix with characters that a LIKE pattern would read as wildcards."""
+    inside, outside = predicates.split_by_base(views.documents(spark, sf_dir), "en/src_", "rel_key")
+    both = inside.select("rel_key", F.lit(True).alias("inside")).union(outside.select("rel_key", F.lit(False)))
+    return both.groupBy("inside", predicates.prefix(F.col("rel_key"), "%").alias("odd")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT CASE WHEN event_id % 3 = 0 THEN 'inv.object' END AS record_type, 's3://b/' || event_id AS source_uri, CASE WHEN event_id % 3 <> 2 THEN CAST(floor(value) AS BIGINT) END AS size_bytes FROM events WHERE event_id % 10 <> 9")
+def parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of three forms: in an envelope, a bare object, a bare URI; one in ten is none of these."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("s3://b/"), F.col("event_id").cast("string")).alias("source_uri"), F.floor("value").alias("size_bytes"))
+    i = F.col("event_id")
+    boxed = records.envelope(events.where((i % 10 != 9) & (i % 3 == 0)).select("source_uri", "size_bytes"), "inv.object", "job", "s3")
+    bare = events.where((i % 10 != 9) & (i % 3 == 1)).select(F.to_json(F.struct("source_uri", "size_bytes")).alias("value"))
+    uris = events.where((i % 10 != 9) & (i % 3 == 2)).select(F.col("source_uri").alias("value"))
+    junk = events.where(i % 10 == 9).select(F.concat(F.lit("not a record "), "source_uri").alias("value"))
+    return records.parse_lines(boxed.union(bare).union(uris).union(junk), "source_uri string, size_bytes long")[0]
+
+
 @_query("SELECT rel_key, journal_id, sequence, event_type, size_bytes FROM (SELECT *, row_number() OVER (PARTITION BY rel_key ORDER BY journal_id DESC, sequence DESC) AS rn FROM journal) WHERE rn = 1", JOURNAL)
 def events_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold that the streaming merge applies to each batch, over the whole journal in two batches."""

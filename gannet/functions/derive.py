@@ -3,10 +3,9 @@
 Each function returns a value, null where it can't be had. `missing` decides what a null means.
 """
 
-from __future__ import annotations
-
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,11 +62,39 @@ def json_path(document: Column, path: str) -> Column:
     return F.get_json_object(document, "$" + "".join(f"['{name}']{index}" for name, index in steps))
 
 
+def _first_text(document: str | None, path: str) -> str | None:
+    from xml.etree import ElementTree
+
+    try:
+        root = ElementTree.fromstring(document or "")
+    except (ElementTree.ParseError, ValueError):
+        return None
+    named = lambda e, name: isinstance(e.tag, str) and e.tag.rpartition("}")[2] == name.rpartition(":")[2]
+    if path.startswith("//"):
+        found = (e for e in root.iter() if named(e, path[2:]))
+    else:
+        first, *steps = path[1:].split("/")
+        at = [root] if named(root, first) else []
+        for step in steps:
+            at = [e for parent in at for e in parent if named(e, step)]
+        found = iter(at)
+    element = next(found, None)
+    return None if element is None else "".join(element.itertext()).strip() or None
+
+
 def xml_path(document: Column, path: str) -> Column:
-    """Text of the first element at //Tag or /a/b; null if that is empty. Needs well-formed XML."""
+    """Text of the first element at //Tag or /a/b; null if that is empty, or the document isn't well-formed.
+
+    Spark's own XPath functions fail the whole job at one malformed document, so each is parsed
+    in batches by Python.
+    """
     if not re.fullmatch(r"//[\w:-]+|(/[\w:-]+)+", path):
         raise ValueError(f"not a path: {path!r}")
-    return F.nullif(F.trim(F.xpath_string(document, F.lit(f"string(({path})[1])"))), F.lit(""))
+
+    def run(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda x: _first_text(x, path)).astype(object)
+
+    return F.pandas_udf(run, "string")(document)
 
 
 def tag_text(document: Column, tag: str) -> Column:

@@ -47,6 +47,13 @@ def latest_run(runs: DataFrame, only_success: bool = False) -> DataFrame:
     return some.groupBy("index_set_id").agg(F.max_by(F.struct("run_id", "started_at", "status"), F.struct("started_at", "run_id")).alias("r")).select("index_set_id", "r.*")
 
 
+def run_list(runs: DataFrame, index_set: str | None = None, limit: int | None = None) -> DataFrame:
+    """Runs, the newest first."""
+    some = runs if index_set is None else runs.where(F.col("index_set_id") == index_set)
+    out = some.orderBy(F.desc("started_at"), F.desc("run_id"))
+    return out if limit is None else out.limit(limit)
+
+
 def list_with_stats(rows: DataFrame, runs: DataFrame) -> DataFrame:
     stats = set_summary(rows).select("index_set_id", "active", "active_bytes")
     count = runs.groupBy("index_set_id").agg(F.count("*").alias("runs"))
@@ -118,6 +125,16 @@ def direct_prefixes(rows: DataFrame, depth: int | None = None) -> DataFrame:
     return out if depth is None else out.where(F.size(F.split("prefix", "/")) - 1 <= depth)
 
 
+def filtered_tree(rows: DataFrame, depth: int, matches: Column, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """direct_prefixes of the rows that match, the first `most` prefixes by name, and a row of totals: prefixes there are, and whether some were left out.
+
+    matches is any predicate on keys, such as includes and excludes. The cap is the caller's wish.
+    """
+    tree = direct_prefixes(rows.where(matches), depth)
+    left_out = F.lit(False) if most is None else F.col("prefixes") > most
+    return (tree if most is None else tree.orderBy("prefix").limit(most)), tree.agg(F.count("*").alias("prefixes"), F.coalesce(F.sum("direct_objects"), F.lit(0)).alias("objects")).withColumn("truncated", left_out)
+
+
 def tree_totals(tree: DataFrame) -> DataFrame:
     return tree.agg(F.count("*").alias("prefixes"), F.sum("direct_objects").alias("objects"), F.sum("direct_bytes").alias("bytes"))
 
