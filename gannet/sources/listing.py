@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gannet.sources.heads import failure
+
 SCHEMA = "key string, size_bytes long, last_modified timestamp"
 
 
@@ -21,7 +23,7 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 
 
 def head_bytes(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The first n bytes of each file."""
+    """The first n bytes of each file below any path that Spark reads; whole files are read. heads.heads() reads no more than it is asked for, below a root that executors mount."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return rows.select(F.col("path").alias("key"), F.substring("content", 1, n).alias("head"), F.col("length").alias("size_bytes"))
 
@@ -45,7 +47,7 @@ class PrefixReader(DataSourceReader):
         base = os.path.realpath(self.root)
         top = os.path.realpath(os.path.join(base, partition.value))
         if os.path.commonpath([base, top]) != base:
-            yield (partition.value, None, None, None, "outside the root")
+            yield (partition.value, None, None, None, "access_denied")
             return
         errors: list[OSError] = []
         for folder, _, names in os.walk(top, onerror=errors.append):
@@ -58,7 +60,7 @@ class PrefixReader(DataSourceReader):
                     continue
                 yield (partition.value, os.path.relpath(path, base), s.st_size, datetime.datetime.fromtimestamp(s.st_mtime, datetime.UTC), None)
         for e in errors:
-            yield (partition.value, None, None, None, type(e).__name__)
+            yield (partition.value, None, None, None, failure(e))
 
 
 class PrefixSource(DataSource):

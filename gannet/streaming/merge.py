@@ -30,7 +30,11 @@ def start(stream: DataFrame, store: Store, checkpoint: str, fields: tuple[str, .
         if parent == run:
             return  # this batch was published before the checkpoint could say so
         prior = None if parent is None else store.read(parent)
-        new = fold(prior, batch, fields).withColumn("deleted_at", F.lit(None).cast("timestamp_ntz")).withColumn("etag", F.lit(None).cast("string"))
+        new = fold(prior, batch, fields)
+        for name, kind in (("deleted_at", "timestamp_ntz"), ("etag", "string")):  # a store counts by these
+            if name not in new.columns:
+                kept = None if prior is None or name not in prior.columns else prior.select("rel_key", name)
+                new = new.withColumn(name, F.lit(None).cast(kind)) if kept is None else new.join(kept, "rel_key", "left")
         store.publish(new, run, parent)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,8 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gannet.operators import delta, merge, rollup
 from gannet.operators import query as Q
-from gannet.sources import listing, records
+from gannet.sources import heads, listing, records
 from gannet.sources.storage import StaleParent, Store, resolve
 from gannet.streaming import merge as stream
 
@@ -78,7 +79,62 @@ def test_listing(spark, tmp_path):
     assert bytes(listing.head_bytes(spark, str(tmp_path / "a"), 2).first()["head"]) == b"he"
     spark.dataSource.register(listing.PrefixSource)
     got = spark.read.format("prefix_listing").option("root", str(tmp_path)).option("prefixes", "a,none,../..").load().collect()
-    assert {(r["prefix"], r["key"], r["error"]) for r in got} == {("a", "a/f.txt", None), ("none", None, "FileNotFoundError"), ("../..", None, "outside the root")}
+    assert {(r["prefix"], r["key"], r["error"]) for r in got} == {("a", "a/f.txt", None), ("none", None, "not_found"), ("../..", None, "access_denied")}
+
+
+def test_heads(spark, tmp_path):
+    """Files, what stands beside them, and classes of failure, through to an enriched table and a crawl's summary."""
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.bin").write_bytes(b"hello")
+    (tmp_path / "d" / "a.bin.meta.json").write_text('{"content_type": "a/b", "storage_class": "COLD", "user_metadata": {"k": "v"}}')
+    (tmp_path / "d" / "b.bin").write_bytes(b"xy")
+    (tmp_path / "d" / "b.bin.meta.json").write_text("no json")
+    keys = spark.createDataFrame([("d/a.bin",), ("d/none",), ("d",), ("../../etc/passwd",), ("d/b.bin",), (None,)], "rel_key string")
+    found = heads.heads(keys, str(tmp_path), first=2)
+    got = {r["rel_key"]: r for r in found.collect()}
+    a = got["d/a.bin"]
+    assert (a["size_bytes"], a["content_type"], a["storage_class"], a["metadata"], bytes(a["head"]), len(a["etag"])) == (5, "a/b", "COLD", {"k": "v"}, b"he", 64)
+    assert {k: got[k]["error"] for k in ("d/none", "d", "../../etc/passwd", "d/b.bin", None)} == {"d/none": "not_found", "d": "not_found", "../../etc/passwd": "access_denied", "d/b.bin": "provider_error", None: "not_found"}
+    assert {r["error"]: r["keys"] for r in heads.failures(found).collect()} == {"not_found": 3, "access_denied": 1, "provider_error": 1}
+    rows = keys.withColumns({c: F.lit(None).cast(t) for c, t in (("archive_status", "string"), ("restore_state", "string"), ("restore_expiry", "timestamp_ntz"), ("content_type", "string"), ("head_enriched_at", "timestamp_ntz"))})
+    assert {r["rel_key"]: r["content_type"] for r in merge.enrich(rows, heads.enrichment(found)).where("head_enriched_at is not null").collect()} == {"d/a.bin": "a/b"}
+    summary = rollup.crawl_summary(found, F.col("rel_key").endswith(".bin"), F.col("error")).first()
+    assert (summary["listed"], summary["matched"], summary["bytes"], summary["errors"]) == (1, 1, 5, 5)
+    assert heads.heads(keys.limit(0), str(tmp_path)).count() == 0
+
+
+def test_publishing_by_turns(spark, tmp_path):
+    """Two writers from one parent: one gets the turn. Segments tell what they hold; garbage is collected by runs."""
+    store = Store(spark, str(tmp_path / "s"))
+    rows = spark.range(10).select(F.concat(F.lit("k"), F.col("id")).alias("rel_key"), F.lit("e").alias("etag"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
+    first = store.publish(rows, "r1", facts={"index_set_id": "s"}, segment_rows=4)
+    assert sum(x["rows"] for x in first["segments"]) == 10 and all(x["rows"] <= 4 and len(x["sha256"]) == 64 for x in first["segments"])
+    assert [x["min_key"] for x in first["segments"]] == sorted(x["min_key"] for x in first["segments"]) and first["index_set_id"] == "s"
+    late = Store(spark, store.root)
+    seen = late._turns
+    late_turns = seen()
+    store.publish(rows, "r2", "r1", segment_rows=4)
+    object.__setattr__(late, "_turns", lambda: late_turns)
+    object.__setattr__(late, "latest", lambda: "r1")
+    with pytest.raises(StaleParent):
+        late.publish(rows, "r3", "r1")
+    assert store.latest() == "r2" and store.runs() == ["r1", "r2"]
+    twice = spark.createDataFrame([("a", 1), ("a", 1)], "rel_key string, n int")
+    assert Store._digest(twice) != Store._digest(twice.limit(0)) and Store._digest(rows) == Store._digest(rows.orderBy(F.desc("rel_key")))
+    part = next((tmp_path / "s" / "r2" / "segments").glob("*.parquet"))
+    assert store.read("r2", verify=True).count() == 10
+    assert store.collect_garbage(1) == ["r1"] and store.read().count() == 10
+    part.unlink()
+    with pytest.raises(ValueError):
+        store.read("r2", verify=True)
+
+
+def test_ordered_digest(spark):
+    rows = spark.createDataFrame([("b", 2, None, None), ("a<", 1, "2024-01-01 10:00:00.5", "C")], "rel_key string, size_bytes long, last_modified string, storage_class string").withColumn("last_modified", F.col("last_modified").cast("timestamp_ntz"))
+    import hashlib
+
+    lines = b'{"rel_key":"a\\u003c","size_bytes":1,"last_modified":"2024-01-01T10:00:00.5Z","storage_class":"C"}\n{"rel_key":"b","size_bytes":2}\n'
+    assert delta.ordered_digest(rows) == hashlib.sha256(lines).hexdigest() == delta.ordered_digest(rows.orderBy(F.desc("rel_key")))
 
 
 def test_stream_merge(spark, tmp_path):
