@@ -34,8 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares no band with probability (1 - 0.8 ** 6) ** 40, 5 in a million; one at 0.2 shares
 #: one with 0.3 %, so documents with a passage in common seldom meet.
 BANDS, ROWS = 40, 6
-#: Texts of a bucket that are compared at once with as many others.
-BLOCK = 512
+#: Texts of a bucket that are compared at once with as many others, and their shingles; texts that meet a leader in one task.
+BLOCK, BLOCK_SHINGLES, LED = 512, 1 << 17, 64
 #: Bits of the map by which texts are picked without a shuffle: 8 MB to broadcast, whatever the input. A full
 #: map picks too many texts, which the join behind it drops.
 MAP_BITS = 1 << 26
@@ -128,7 +128,7 @@ def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _sign(weighting: str):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.batches(source, "text", 1 << 20):
+        for batch in W.batches(source, "text", 1 << 18):
             words = W.split(*W.utf8(batch.column(1)))
             element, times, doc = shingles(words)
             weight = times.astype(float) if weighting == "count" else np.ones(len(element))
@@ -148,7 +148,7 @@ def _sign(weighting: str):
 
 def _sets(weighting: str):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.batches(source, "text", 1 << 20):
+        for batch in W.batches(source, "text", 1 << 18):
             words = W.split(*W.utf8(batch.column(1)))
             element, times, doc = shingles(words)
             if weighting == "count":
@@ -206,10 +206,10 @@ def _with_leader(group: pa.Table) -> pa.Table:
 def _similarity(sets: DataFrame, led: DataFrame) -> DataFrame:
     """led (a, its leader b) with their exact similarity.
 
-    A leader's texts are dealt to blocks of about BLOCK, each with a copy of the leader's set: no set
+    A leader's texts are dealt to blocks of about LED, each with a copy of the leader's set: no set
     travels once for each pair, and no task holds all that share a leader.
     """
-    blocks = cut(led.groupBy(F.col("b").alias("leader")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    blocks = cut(led.groupBy(F.col("b").alias("leader")).agg(F.ceil(F.count("*") / LED).cast("int").alias("blocks")))
     dealt = led.join(blocks, led["b"] == blocks["leader"]).select("leader", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.col("a").alias("id"))
     members = dealt.join(sets, "id").select("leader", "block", "id", "shingles", F.lit(False).alias("leads"))
     leaders = blocks.join(sets, blocks["leader"] == sets["id"]).select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "shingles", F.lit(True).alias("leads"))
@@ -276,7 +276,7 @@ def _compare(similarity: float):
 
 
 def _across(members: DataFrame, texts: DataFrame, known: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between components that meet in a bucket, found in blocks of at most about BLOCK texts each.
+    """Links (a, b) between components that meet in a bucket, found in blocks of at most about BLOCK texts, or BLOCK_SHINGLES, each.
 
     Leaders are left out, having been compared with all. Two texts are compared if they aren't
     of one component nor both of the leader's, and neither their distances to the leader, by the
@@ -291,7 +291,7 @@ def _across(members: DataFrame, texts: DataFrame, known: DataFrame, found: DataF
     rest = rest.join(lead, "leader", "left").withColumn("apart", F.col("component") != F.coalesce("lead", "leader")).drop("leader", "lead")
     rest = cut(rest.join(texts.select("id", "size").distinct(), "id"), placed)
     # where all left are of the leader's component there is nothing to compare
-    sizes = rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("apart").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("band", "blocks")
+    sizes = rest.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.max("apart").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("band", "blocks")
     dealt = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     dealt = dealt.select("band", "lo", "hi", "block", "id", "component", "apart", "far", "size")

@@ -176,7 +176,7 @@ class Encoder:
     _ODD = re.compile(r" (?:\s|\Z)")
     _FAST = re.compile("[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 
-    def __init__(self, path: str, ranks_path: str | None = None, most: int = 40 << 20):
+    def __init__(self, path: str, ranks_path: str | None = None, most: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -233,11 +233,12 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from gannet.llm.words import batches
+        from gannet.llm.words import batches, keep
 
         packer = Packer(window, pool, TaskContext.get().partitionId() << _SHIFT)
         coder = encoder(tokenizer_path, ranks_path)
-        for batch in batches(source, "text", 1 << 20):
+        keep("encoders", _encoders.clear)
+        for batch in batches(source, "text", 1 << 20, "encoders"):
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 packer.add(doc, coder.encode(x or "", eos))
             yield from packer.rows()

@@ -1,20 +1,41 @@
 """Words of UTF-8 texts, found and hashed with numpy over Arrow's own buffers.
 
 A word is a longest run of bytes that aren't separators. Separators are ASCII, so they never
-fall inside a multi-byte character. A word's hash is a polynomial over random 64-bit values of
-its bytes (modulo 2**64), then mixed; it doesn't depend on where the word stands.
+fall inside a multi-byte character. A word's hash is the sum of a mixed value for each byte and
+its place in the word, then mixed; it doesn't depend on where the word stands.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-STEP = 1 << 19
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+#: What operators keep in a worker from task to task, by name, and how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str, drop: Callable[[], None]) -> None:
+    """Notes that something stays in this worker until batches are read for another purpose."""
+    _kept[name] = drop
+
+
+def give_back() -> None:
+    """Returns memory that a worker doesn't use now; it lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+STEP = 1 << 17
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
@@ -47,20 +68,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_spots = np.zeros(0, dtype=np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n + 1:
-        size = max(n + 1, STEP + (1 << 16))
-        made = []
-        for p in (_P, _P_INVERSE):
-            a = np.full(size, p, dtype=np.uint64)
-            a[0] = 1
-            made.append(np.cumprod(a, dtype=np.uint64))
-        _powers = (made[0], made[1])
-    return _powers
+def spots(n: int) -> np.ndarray:
+    """A random 64-bit value for each place in a word."""
+    global _spots
+    if len(_spots) < n:
+        _spots = mix(np.arange(1, max(n, STEP + (1 << 16)) + 1))
+    return _spots
 
 
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,12 +137,18 @@ def split(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE, values: np.
         edge = edge[edge > 0] - 1
         closes[edge] = word[edge]
         s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        up, down = powers(len(seg))
+        place = np.arange(len(seg), dtype=np.int32)
+        place -= np.maximum.accumulate(np.where(opens, place, np.int32(0)))
+        each = values[seg]
+        each += spots(len(seg))[place]
+        each ^= each >> np.uint64(29)
+        each *= np.uint64(0xBF58476D1CE4E5B9)
+        each ^= each >> np.uint64(32)
         total = np.zeros(len(seg) + 1, dtype=np.uint64)
-        np.cumsum(values[seg] * up[: len(seg)], dtype=np.uint64, out=total[1:])
+        np.cumsum(each, dtype=np.uint64, out=total[1:])
         starts.append(s + at)
         ends.append(e + at)
-        hashes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
+        hashes.append(mix(total[e] - total[s] + (e - s).astype(np.uint64)))
     if not starts:
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(off), np.int64))
@@ -151,8 +173,10 @@ def ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h[at])
 
 
-def batches(source: Iterator[pa.RecordBatch], column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each has about `size` bytes of text, or one row."""
+def batches(source: Iterator[pa.RecordBatch], column: str, size: int = 1 << 19, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each has about `size` bytes of text, or one row. What others than `keeps` have left in this worker is dropped first."""
+    for name in [x for x in _kept if x != keeps]:
+        _kept.pop(name)()
     for batch in source:
         if not batch.num_rows:
             continue
@@ -163,4 +187,4 @@ def batches(source: Iterator[pa.RecordBatch], column: str, size: int = 1 << 21)
             to = max(to, at + 1)
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+    give_back()

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -136,16 +137,82 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-def test_probabilities_of_a_context_sum_to_one():
-    """The class models are distributions over bytes: seen continuations and what escapes account for all."""
-    model = toxicity.train(pa.array(["abab", "abac", "bbb"]), np.array([[2.0, 1, 1], [0, 3, 0]]))
-    value = model.of_words(*_spans(["abab", "new", "abac"]))
-    assert value.shape == (3,) and value[2] > value[0] and np.isfinite(value).all()
-    again = {h: v for h, v in zip(model.words.tolist(), model.known.tolist(), strict=True)}
-    w = words.split(*words.utf8(pa.array(["abab"])), sep=words.SPACE_PUNCT, values=words.LOWER)
-    assert abs(again[w.hash.tolist()[0]] - value[0]) < 1e-5
+class _KneserNey:
+    """The two models by their definition, over dictionaries of grams."""
+
+    def __init__(self, ws, count):
+        top = toxicity.ORDERS[-1]
+        self.n = {top: [Counter(), Counter()]}
+        for k, w in enumerate(ws):
+            text = b" " * (top - 1) + w.encode() + b" "
+            for at in range(top - 1, len(text)):
+                for c in (0, 1):
+                    if count[c][k]:
+                        self.n[top][c][text[at - top + 1 : at + 1]] += count[c][k]
+        for k in range(top - 1, 0, -1):
+            self.n[k] = [Counter(), Counter()]
+            for c in (0, 1):
+                for gram in self.n[k + 1][c]:
+                    self.n[k][c][gram[1:]] += 1
+
+    def p(self, c, gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        n = self.n[k][c] if k in toxicity.ORDERS else self.n[k][0] + self.n[k][1]
+        follow = {g: x for g, x in n.items() if g[:-1] == gram[:-1]}
+        total = sum(follow.values())
+        below = self.p(c, gram[1:])
+        if not total:
+            return below
+        # in the shared orders a context's kinds are grams of either class
+        return (max(n[gram] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(follow) * below) / total
+
+
+def test_toxicity_models_against_brute_force():
+    """The difference of log-likelihoods is that of Kneser-Ney models written out, for words learnt from and new ones; and these sum to one over all bytes."""
+    r = np.random.default_rng(4)
+    ws = sorted({"".join(r.choice(list("abc"), int(r.integers(1, 12))).tolist()) for _ in range(40)})
+    count = np.stack([r.integers(0, 4, len(ws)), r.integers(0, 4, len(ws))]).astype(float)
+    ws, count = [w for w, n in zip(ws, count.sum(axis=0), strict=True) if n], count[:, count.sum(axis=0) > 0]
+    model, brute = toxicity.train(pa.array(ws), count), _KneserNey(ws, count)
+    asked = [*ws[:12], "abcabcabc", "zz", "a", "abz", "q" * 30]
+    value = model.of_words(*_spans(asked))
+    top = toxicity.ORDERS[-1]
+    for w, v in zip(asked, value, strict=True):
+        text = b" " * (top - 1) + w.encode() + b" "
+        grams = [text[at - top + 1 : at + 1] for at in range(top - 1, len(text))]
+        assert abs(v - sum(np.log(brute.p(1, g) / brute.p(0, g)) for g in grams)) < 1e-4, w
+    for context in (b"", b"a", b"ab", b"   ab", b"  abcab", b"      c"):
+        for c in (0, 1):
+            assert abs(sum(brute.p(c, context + bytes([x])) for x in range(256)) - 1) < 1e-9
+    known = dict(zip(model.words.tolist(), model.known.tolist(), strict=True))
+    h = words.split(*words.utf8(pa.array([ws[0]])), sep=words.SPACE_PUNCT, values=words.LOWER).hash
+    assert abs(known[h.tolist()[0]] - value[0]) < 1e-4
+
+
+def test_toxicity_edge_cases(spark):
+    """Very long texts, repeated rows and a clashing column."""
+    rows = _docs(200)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(7000, (rows[1][1] + " ") * 20_000), (7001, "zuqaei " * 200_000), (7002, "twice"), (7002, "twice")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    got = [(r["doc_id"], r["predicted"]) for r in toxicity.score(docs, model).where("doc_id >= 7000").collect()]
+    assert sorted(got)[:2] == [(7000, 0), (7001, 1)] and len(got) == 4
+    with pytest.raises(ValueError):
+        toxicity.score(docs.withColumnRenamed("doc_id", "score"), model, carry=["score"])
 
 
 def _spans(ws):
     buf, off = words.utf8(pa.array(ws))
     return buf, off[:-1], off[1:]
+
+
+def test_hashes_tell_crafted_words_apart():
+    """Words on which sums of powers modulo 2**64 agree."""
+    a = b"ab"
+    for _ in range(10):
+        a = a + bytes(97 + 98 - c for c in a)
+    b = bytes(97 + 98 - c for c in a)
+    buf = np.frombuffer(a + b" " + b + b" " + a, dtype=np.uint8)
+    h = words.split(buf, np.array([0, len(buf)])).hash
+    assert h[0] != h[1] and h[0] == h[2]
