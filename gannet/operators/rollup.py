@@ -108,17 +108,25 @@ def ancestors(key: Column, depth: int) -> Column:
     return F.concat(F.array(F.lit("")), F.coalesce(below, F.array().cast("array<string>")))
 
 
+def _folder(key: Column) -> Column:
+    """What stands before a key's last slash, with it."""
+    return F.substring(key, F.lit(1), F.length(key) - F.length(F.substring_index(key, "/", -1)))
+
+
 def prefix_tree(rows: DataFrame, depth: int) -> DataFrame:
-    """For each prefix down to a depth: all objects and bytes below it."""
-    up = rows.select(F.explode(ancestors(F.col("rel_key"), depth)).alias("prefix"), "size_bytes")
-    return up.groupBy("prefix").agg(F.count("*").alias("objects"), F.sum("size_bytes").alias("bytes"), (F.size(F.split("prefix", "/")) - 1).alias("depth"))
+    """For each prefix down to a depth: all objects and bytes below it.
+
+    Objects are folded by their folder first, so that only folders meet their ancestors.
+    """
+    folders = rows.groupBy(_folder(F.col("rel_key")).alias("folder")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
+    up = folders.select(F.explode(ancestors(F.col("folder"), depth)).alias("prefix"), "n", "b")
+    return up.groupBy("prefix").agg(F.sum("n").alias("objects"), F.sum("b").alias("bytes"), (F.size(F.split("prefix", "/")) - 1).alias("depth"))
 
 
 def direct_prefixes(rows: DataFrame, depth: int | None = None) -> DataFrame:
     """For each prefix: objects and bytes that stand directly in it, and prefixes directly under it."""
-    parent = F.regexp_extract("rel_key", "^(.*/)?[^/]*$", 1)
-    files = rows.groupBy(parent.alias("prefix")).agg(F.count("*").alias("direct_objects"), F.sum("size_bytes").alias("direct_bytes"))
-    folders = rows.select(F.explode(ancestors(F.col("rel_key"), depth or 1000)).alias("child")).where("child != ''").distinct()
+    files = rows.groupBy(_folder(F.col("rel_key")).alias("prefix")).agg(F.count("*").alias("direct_objects"), F.sum("size_bytes").alias("direct_bytes"))
+    folders = files.select(F.explode(ancestors(F.col("prefix"), depth or 1000)).alias("child")).where("child != ''").distinct()
     under = folders.groupBy(F.regexp_extract("child", "^(.*/)?[^/]+/$", 1).alias("prefix")).agg(F.count("*").alias("child_prefixes"))
     both = files.join(under, "prefix", "full_outer")
     out = both.select("prefix", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("direct_objects", "direct_bytes", "child_prefixes")])
