@@ -431,6 +431,18 @@ def collision_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reflow.decide(source.join(dest, "rel_key", "left"), "overwrite-if-source-newer").select("rel_key", "decision")
 
 
+@_query(
+    "SELECT a.doc_id, CASE WHEN b.doc_id IS NULL THEN 'copy' WHEN octet_length(encode(a.text)) = octet_length(encode(b.text)) AND a.text = b.text THEN 'skipped' ELSE 'error' END AS decision FROM documents a LEFT JOIN documents b ON b.doc_id = CASE WHEN a.doc_id % 3 = 0 THEN a.doc_id ELSE a.doc_id + 1 END"
+)
+def collision_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collisions that only contents decide: tags of several parts, and files."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    i, size = F.col("doc_id"), F.octet_length("text").cast("long")
+    source = docs.select(i, F.when(i % 3 == 0, i).otherwise(i + 1).alias("at"), F.when(i % 2 == 0, "s3").otherwise("file").alias("source_provider"), F.lit("x-2").alias("source_etag"), size.alias("source_size"), F.lit(None).cast("timestamp_ntz").alias("source_modified"), F.col("text").cast("binary").alias("source_body"))
+    dest = docs.select(i.alias("at"), F.lit("s3").alias("dest_provider"), F.lit("x-2").alias("dest_etag"), size.alias("dest_size"), F.lit(None).cast("timestamp_ntz").alias("dest_modified"), F.lit(True).alias("dest_found"), F.col("text").cast("binary").alias("dest_body"))
+    return reflow.decide(source.join(dest, "at", "left"), "quarantine").select("doc_id", "decision")
+
+
 _VERIFY = "(SELECT o.rel_key, CASE WHEN p.rel_key IS NULL THEN 'missing' WHEN o.size_bytes IS DISTINCT FROM p.size_bytes THEN 'size_mismatch' WHEN coalesce(o.etag, '') <> '' AND coalesce(p.etag, '') <> '' AND o.etag <> p.etag THEN 'verified_size_etag_differs' ELSE 'verified' END AS verdict FROM after o LEFT JOIN before p ON p.rel_key = o.rel_key)"
 
 

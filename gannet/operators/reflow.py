@@ -26,13 +26,16 @@ def same_body(source_size: Column, dest_size: Column, source_body: Column, dest_
 def decide(pairs: DataFrame, mode: str) -> DataFrame:
     """decision and reason for rows of source_* and dest_* columns joined on dest_key.
 
-    A null dest_found means the place is free.
+    A null dest_found means the place is free. With columns source_body and dest_body (null where
+    a provider gives none), contents of equal size that tags don't tell apart are compared by hash.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode!r}")
     c = F.col
     free = c("dest_found").isNull()
     same = is_duplicate(c("source_provider"), c("dest_provider"), c("source_etag"), c("dest_etag"), c("source_size"), c("dest_size"))
+    if {"source_body", "dest_body"} <= set(pairs.columns):
+        same = same | F.coalesce(same_body(c("source_size"), c("dest_size"), c("source_body"), c("dest_body")), F.lit(False))
     on_same = ("error", "collision.duplicate") if mode == "fail" else ("skipped", "collision.duplicate")
     decision, reason = F.when(free, "copy").when(same, on_same[0]), F.when(free, "none").when(same, on_same[1])
     if mode == "overwrite-if-source-newer":
