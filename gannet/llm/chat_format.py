@@ -54,7 +54,8 @@ def render(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """One row for each conversation: conv_id, n_turns, formatted, loss_spans, attachments, expanded_tokens.
 
     parts is an array of PART. Messages stand by turn, those of equal turns (nulls first) by role
-    and content; repeated messages all stay. A null role or text reads as empty, a null list of
+    and content, as it was before escaping; repeated messages all stay. A conversation is one
+    row of the result, so its messages meet in one task, very long texts whole. A null role or text reads as empty, a null list of
     parts as none, a null type as text, null units as 1; a null conversation is one of its own.
     loss_spans (start, length; in code points, from 0) covers what messages of the role `learn`
     say, escaped. attachments lists turn, number, type, ref and tokens in order. Other columns
@@ -64,10 +65,11 @@ def render(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
     content = F.array_join(F.transform("parts", lambda p, i: _visit(p, i)), "")
     others = F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).cast("bigint").alias("tokens"))), lambda p: ~is_text(p))
-    rows = rows.select("conv_id", "turn", "role", content.alias("content"), others.alias("others"))
+    raw = F.array_join(F.transform("parts", lambda p: F.when(is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(F.lit(""))), "")
+    rows = rows.select("conv_id", "turn", "role", raw.alias("raw"), content.alias("content"), others.alias("others"))
     head = F.concat(F.lit(TURN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("~2")), F.lit("\n"))
     rows = rows.withColumn("head", head).withColumn("said", F.concat("head", "content", F.lit(END)))
-    ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "content", F.to_json("others"))
+    ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "raw", "content", F.to_json("others"))
     rows = rows.withColumn("nth", F.row_number().over(ordered)).withColumn("end", F.sum(F.length("said")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     span = F.struct((F.col("end") - F.length("said") + F.length("head")).alias("start"), F.length("content").cast("bigint").alias("length"))
     files = F.transform("others", lambda p: F.struct(F.col("turn").alias("turn"), p["number"].alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))
