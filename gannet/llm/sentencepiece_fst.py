@@ -2,7 +2,8 @@
 
 A model file is compiled to machines kept as integer tables.
 
-- The normaliser has three states (start of a text, behind a blank, behind any other character)
+- The normaliser first reads the model's character map, a trie whose longest match is rewritten.
+  Then it has three states (start of a text, behind a blank, behind any other character)
   and writes the dummy prefix and the marks that stand for blanks.
 - The piece machine is the trie of all pieces: an arc for each state and character, and on states
   where a piece ends an arc back to the start that writes the piece and weighs its negated score.
@@ -125,6 +126,65 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<i4").copy()
 
 
+class Rules:
+    """A character map as a trie: at each place the longest source is read and its target written, else one character is copied."""
+
+    def __init__(self, blob: bytes):
+        n = int.from_bytes(blob[:4], "little")
+        units, targets = np.frombuffer(blob, "<u4", n // 4, 4).astype(np.int64), blob[4 + n :]
+        offset = (units >> 10) << ((units & (1 << 9)) >> 6)
+        found, paths, at = {}, [b""], np.zeros(1, dtype=np.int64)
+        label = np.arange(256)
+        while len(at):  # all places of one depth at once; label 0 leads to a value
+            child = (at[:, None] ^ offset[at][:, None]) ^ label[None, :]
+            there = (child < len(units)) & ((units[np.minimum(child, len(units) - 1)] & 0x800000FF) == label) & (label > 0)
+            who, byte = np.nonzero(there)
+            at, paths = child[who, byte], [paths[k] + bytes([b]) for k, b in zip(who.tolist(), byte.tolist(), strict=True)]
+            for k in np.flatnonzero(units[at] >> 8 & 1).tolist():
+                value = int(units[at[k] ^ offset[at[k]]] & 0x7FFFFFFF)
+                found[paths[k].decode()] = targets[value : targets.index(b"\0", value)].decode()
+        state, arcs, rule = {"": 0}, {}, {}
+        for source, target in found.items():
+            for k in range(len(source)):
+                state.setdefault(source[: k + 1], len(state))
+                arcs[state[source[:k]] << 21 | ord(source[k])] = state[source[: k + 1]]
+            rule[state[source]] = len(rule)
+        self.arcs = Table.of(np.array(list(arcs), np.int64), np.array(list(arcs.values()), np.int32))
+        self.rule = np.full(len(state), -1, dtype=np.int64)
+        self.rule[list(rule)] = list(rule.values())
+        self.out = codes("".join(found.values()))
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in found.values()])]).astype(np.int64)
+
+    def apply(self, c: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is written for texts of these sizes, one after the other, and its sizes."""
+        stop = np.repeat(np.cumsum(size), size)
+        start, state, n = np.arange(len(c)), np.zeros(len(c), dtype=np.int64), 0
+        length, rule = np.zeros(len(c), dtype=np.int64), np.full(len(c), -1)
+        while len(start):
+            go = self.arcs.get(state << 21 | c[start + n])
+            start, state, n = start[go >= 0], go[go >= 0].astype(np.int64), n + 1
+            hit = self.rule[state] >= 0
+            length[start[hit]], rule[start[hit]] = n, self.rule[state[hit]]
+            more = start + n < stop[start]
+            start, state = start[more], state[more]
+        taken, end = [], 0
+        matched = np.flatnonzero(rule >= 0)
+        for at, upto in zip(matched.tolist(), (matched + length[matched]).tolist(), strict=True):
+            if at >= end:
+                taken.append(at)
+                end = upto
+        taken = np.array(taken, dtype=np.int64)
+        wide = np.ones(len(c), dtype=np.int64)
+        of, nth = _spread(length[taken])
+        wide[taken[of] + nth] = 0
+        wide[taken] = np.diff(self.ends)[rule[taken]]
+        out, ends = np.repeat(c, wide), np.concatenate([[0], np.cumsum(wide)])
+        of, nth = _spread(wide[taken])
+        out[ends[taken[of]] + nth] = self.out[self.ends[rule[taken[of]]] + nth]
+        bounds = ends[np.concatenate([[0], np.cumsum(size)])]
+        return out, np.diff(bounds)
+
+
 class Transducer:
     """A compiled model. Symbols are piece ids, then characters that only stand inside pieces, then one for all others."""
 
@@ -133,8 +193,8 @@ class Transducer:
             message = list(_fields(f.read()))
         trainer = dict(_fields(next((v for k, v in message if k == 2), b"")))
         normaliser = dict(_fields(next((v for k, v in message if k == 3), b"")))
-        if normaliser.get(2) or not normaliser.get(5, 1):
-            raise ValueError("models with a character map, or without marks for blanks, aren't supported")
+        if not normaliser.get(5, 1):
+            raise ValueError("models without marks for blanks aren't supported")
         self.merging = trainer.get(3, 1) == 2
         if not self.merging and trainer.get(3, 1) != 1:
             raise ValueError("only unigram and merge models are supported")
@@ -142,6 +202,7 @@ class Transducer:
         # by state (start, behind a blank, behind another) and whether a blank is read: marks written first, and whether what is read is
         self.marks = np.array([[0 if squeeze else int(self.prefix), int(self.prefix)], [0, int(squeeze)], [0, 0]])
         self.copies = np.array([[not squeeze, True]] * 3)
+        self.rules = Rules(normaliser[2]) if normaliser.get(2) else None
 
         pieces: dict[str, tuple[int, float]] = {}
         byte = np.full(256, -1, dtype=np.int64)
@@ -212,6 +273,8 @@ class Transducer:
         """The characters that the normaliser writes for all texts, and where each text's end, 0 first."""
         c = codes("".join(texts))
         size = np.fromiter(map(len, texts), np.int64, len(texts))
+        if self.rules:
+            c, size = self.rules.apply(c, size)
         begin = np.cumsum(size) - size
         blank = c == 32
         state = np.full(len(c), 2, dtype=np.int8)
