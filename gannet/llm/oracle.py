@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gannet.llm import embedding_dedup, license_scan, near_dedup, quality_rules
+from gannet.llm import embedding_dedup, license_scan, lm_scoring, near_dedup, quality_rules
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _CLASSES = """
@@ -46,6 +46,21 @@ def _near() -> str:
     SELECT id AS doc_id, root AS class_id, id = root AS kept FROM label"""
 
 
+def _base() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH d AS (SELECT doc_id, crc32_of % 10 = 0 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), {_WORDS}), chr(10)) AS ws FROM (SELECT *, {_crc('doc_id')} AS crc32_of FROM documents)),
+    t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), n AS (SELECT CAST(sum(c) AS BIGINT) AS tokens, count(*) AS kinds FROM c)
+    SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(tokens) AS train_tokens, round(sum(log10((coalesce(c, 0) + {lm_scoring.ALPHA}) / (tokens + {lm_scoring.ALPHA} * (kinds + 1)))), 6) AS base_score
+    FROM t LEFT JOIN c USING (w), n GROUP BY doc_id"""
+
+
+def _crc(column: str) -> str:
+    """crc32 of a number's decimal text, a bit at a time over its characters' codes."""
+    step = "list_reduce([acc, 1, 2, 3, 4, 5, 6, 7, 8], lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)"
+    over = step.replace("acc", "xor(a, b)")
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: {over}), 4294967295)"
+
+
 def _embedding() -> str:
     return f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
     u AS (SELECT id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e, len(e) AS n FROM v WHERE label IS NOT NULL AND list_inner_product(e, e) > 0),
@@ -79,6 +94,7 @@ def _licences() -> str:
 
 ORACLE = {
     "op2_license_scans": _licences(),
+    "lm_base": _base(),
     "op4_embedding_near_dedup": _embedding(),
     "op5_minhash_near_dedup": _near(),
     "op6_chat_formatting": _chat(),

@@ -31,6 +31,13 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op3: counts and the smoothed unigram scores, to six decimals."""
+    held_out = crc_of_id("doc_id", 10) == 0
+    scored = lm_scoring.base_scores(table(spark, sf_dir, "documents"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
 
@@ -81,4 +88,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLE", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scans, op3_lm_scoring, op4_embedding_near_dedup, op5_minhash_near_dedup, op6_chat_formatting, op7_toxicity, op8_html_extraction, op9_sentencepiece, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scans, op3_lm_scoring, op4_embedding_near_dedup, op5_minhash_near_dedup, op6_chat_formatting, op7_toxicity, op8_html_extraction, op9_sentencepiece, op10_quality_rules, lm_base)}
