@@ -291,11 +291,11 @@ def _across(members: DataFrame, texts: DataFrame, known: DataFrame, found: DataF
     rest = rest.join(lead, "leader", "left").withColumn("apart", F.col("component") != F.coalesce("lead", "leader")).drop("leader", "lead")
     rest = cut(rest.join(texts.select("id", "size").distinct(), "id"), placed)
     # where all left are of the leader's component there is nothing to compare
-    sizes = rest.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.max("apart").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("band", "blocks")
+    sizes = cut(rest.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.max("apart").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("band", "blocks"))
     dealt = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     dealt = dealt.select("band", "lo", "hi", "block", "id", "component", "apart", "far", "size")
-    asked = cut(dealt.groupBy("band", "lo", "hi").applyInArrow(_asked(similarity), dealt.schema), rest)
+    asked = cut(dealt.groupBy("band", "lo", "hi").applyInArrow(_asked(similarity), dealt.schema), rest, sizes)
     return cut(asked.join(sets, "id").groupBy("band", "lo", "hi").applyInArrow(_compare(similarity), "a long, b long"), asked)
 
 

@@ -78,6 +78,45 @@ def test_mixed_buckets_lose_no_link(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(df).collect()} == _classes(texts)
 
 
+def test_weights_decide_links(spark):
+    """weighting="count" signs and verifies by how often shingles occur: texts of one set of shingles can be far apart, and the other way round."""
+    from collections import Counter
+
+    r = np.random.default_rng(6)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 6))
+    texts = {}
+    for k in range(30):
+        unit, tail = [word() for _ in range(6)], [word() for _ in range(40)]
+        for c, n in enumerate((1, 2, 12, 13)):
+            texts[10 * k + c] = " ".join(unit * n + tail)
+    bags = {k: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for k, w in ((k, t.split()) for k, t in texts.items())}
+    ks, root = sorted(bags), {}
+    for a in ks:
+        root[a] = min([root[b] for b in ks if b < a and sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values())], default=a)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(df, weighting="count").collect()}
+    assert got == root and root[2] != root[0] and root[3] == root[2]
+    assert {x["doc_id"]: x["class_id"] for x in near_dedup.classes(df).collect()} == _classes(texts) != got
+
+
+def test_very_long_texts_and_blocks(spark, monkeypatch):
+    """Whole texts count, and leaders' texts and buckets dealt to many blocks lose no link."""
+    monkeypatch.setattr(near_dedup, "LED", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 500)
+    r = np.random.default_rng(9)
+    long = [str(x) for x in r.integers(0, 10**6, 60_000)]
+    base = [str(x) for x in r.integers(0, 10**6, 100)]
+    texts = {1: " ".join(long), 2: " ".join([*long[:50_000], "changed", *long[50_001:]]), 3: " ".join([*long[:30_000], *map(str, range(30_000))])}
+    for k in range(40):  # a group in which many are as far as 0.7 to 0.85 from each other
+        own = list(base)
+        for at in r.choice(100, 2, replace=False):
+            own[at] = f"w{k}-{at}"
+        texts[100 + k] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in near_dedup.classes(df).collect()} == _classes(texts)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (500, 500), (129, 300), (None, 1)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -95,7 +134,7 @@ def test_embeddings_against_brute_force(spark):
     rows = [(k, x[k].tolist(), k % 3 if k % 50 else None) for k in range(400)]
     rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [None] * 16, 1), (504, [1.0], 1), (505, [], 1), (None, x[1].tolist(), 1), (506, [2.0], 1)]
     df = spark.createDataFrame([(*row, "x") for row in rows], "vec_id long, embedding array<float>, label int, kept string")
-    got = {r["vec_id"]: r for r in embedding_dedup.link(df, cell=20, block=16).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.link(df, block_bytes=16 * 16 * 8).collect()}
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     near = unit @ unit.T >= 0.98
     label = np.array([-k - 1 if row[2] is None else row[2] for k, row in enumerate(rows[:400])])
