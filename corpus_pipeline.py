@@ -41,7 +41,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
+        out = stage(spark, docs, sf_dir)
+        docs = cut(out, *([docs] if k else [])) if k < len(STAGES) - 1 else out
     return docs
