@@ -35,4 +35,4 @@ def test_entry(spark, data):
 def test_sizes_of_all_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     assert docs.where("n_chars % 8 = 4").count() > 0
-    assert catalog.QUERIES["sizes_all"](spark, data).count() == docs.count()
+    assert catalog.QUERIES["sizes"](spark, data).count() == docs.count()
