@@ -176,7 +176,7 @@ class Encoder:
     _ODD = re.compile(r" (?:\s|\Z)")
     _FAST = re.compile("[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 
-    def __init__(self, path: str, ranks_path: str | None = None, most: int = 24 << 20):
+    def __init__(self, path: str, ranks_path: str | None = None, most: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
