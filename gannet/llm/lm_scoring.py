@@ -10,8 +10,8 @@ frequency, among units and within the class; scoring normalises over all units a
 batched products. A rare word has its share of its class's smoothed rest, so probabilities of
 all words, seen and unseen, sum to 1.
 
-Counts cover every training token, and every training text is trained on once, half of its
-tokens as targets and all of them as contexts, at every size of the corpus. Texts are dealt
+Counts cover every training token, and every training token is trained on once, as a target
+and as context, at every size of the corpus. Texts are dealt
 by hashes to shards of about SHARD tokens, and shards to rounds, more of them for more text. In a
 round each shard runs stochastic gradient steps from common weights, and the mean of the
 results, weighted by tokens, starts the next one. What a shard holds, and in which order,
@@ -40,7 +40,6 @@ CONTEXT, SIZE, NOISE, NOISE_IN_CLASS = 2, 16, 12, 2
 #: Tokens of a shard, of a block in which tokens are shuffled, and of a gradient step.
 SHARD, BLOCK, BATCH, RATE = 1 << 20, 1 << 16, 4096, 0.06
 PART, ROWS = 1 << 16, 1024  # tokens that are scored at once, and of one product: both stay in a processor's cache
-TARGETS = 2  # one in so many tokens of each block, drawn at random, is trained on as a target; all are contexts
 NOISE_TABLE = 1 << 12  # entries of a class's table of noise
 ALPHA = 0.1
 #: At most about so many of the most frequent words' counts are held by every executor (16 bytes each); those of the others are joined.
@@ -277,10 +276,10 @@ class Trainer:
         self._step(m, 3, slice(None), bias)
 
     def block(self, m: Model, draw: np.random.Generator, texts: list[np.ndarray]) -> None:
-        """Steps over the tokens of some texts (codes), in random order."""
+        """Steps over all tokens of some texts (codes), each a target once, in random order."""
         code = np.concatenate(texts).astype(np.int64)
         context = _contexts(code, np.cumsum([0, *map(len, texts)]), TOP + m.rows)
-        unit, order = self.c.unit(code), draw.permutation(len(code))[: -(-len(code) // TARGETS)]
+        unit, order = self.c.unit(code), draw.permutation(len(code))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             self.step(m, draw, code[pick], unit[pick], context[:, pick])

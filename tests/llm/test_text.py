@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -296,6 +297,23 @@ def test_lm_is_a_distribution(monkeypatch, spark):
     assert lm_scoring.score(df, counts, table, weights).count() == 60 and lm_scoring.fit_and_score(df.limit(0), F.lit(False)).count() == 0
 
 
+def test_lm_trains_on_every_token(spark, monkeypatch):
+    """Each token of each text is a target once, none is left out; a block that is no whole number of steps among them."""
+    texts = [" ".join(f"w{j * k % 97}" for j in range(k)) for k in range(1, 140)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, _ = lm_scoring.count(df)
+    hashes, kind, first = lm_scoring._tokens(pa.array(texts))
+    code = counts.look(hashes, kind)[1]
+    trained = []
+    monkeypatch.setattr(lm_scoring.Trainer, "step", lambda self, m, draw, code, unit, context: trained.append(np.vstack([code, context])))
+    model = lm_scoring.Model.fresh(counts)
+    lm_scoring.Trainer(counts).block(model, np.random.default_rng(0), np.split(code.astype("<u2"), first[1:-1]))
+    want = np.vstack([code, lm_scoring._contexts(code, first, lm_scoring.TOP + model.rows)])
+    got = np.hstack(trained)
+    assert len(trained) > 1 and got.shape[1] == counts.tokens
+    assert Counter(map(tuple, got.T.tolist())) == Counter(map(tuple, want.T.tolist()))
+
+
 def test_lm_does_not_depend_on_partitions(spark, monkeypatch, data):
     """The same scores, whatever the partitioning, with several shards and rounds; repeated rows and a very long text among them; better than the base on held-out texts."""
     monkeypatch.setattr(lm_scoring, "SHARD", 20_000)
