@@ -167,11 +167,14 @@ class Encoder:
     """Ids of whole texts, equal to the tokenizer's own.
 
     Its pre-tokenizer always cuts before a space that a non-space follows, so stretches between
-    such cuts can be encoded alone, and stretches met before are looked up. With ranks_path, the
-    same vocabulary as ranks, new stretches of ASCII and Latin letters go to a faster library of
-    the same ids; any others, and those that hold a special token, go to the tokenizer itself.
+    such cuts can be encoded alone. With ranks_path, the same vocabulary as ranks, parts of ASCII
+    and Latin letters without a special token go to a faster library of the same ids at once. Of
+    any other part, stretches met before are looked up; new ones go to the faster library if they
+    may, else to the tokenizer itself.
     """
 
+    PART = 1 << 14  # characters of a part, which ends at the next cut behind them
+
     _CUT = re.compile(r" (?=\S)")
     _ODD = re.compile(r" (?:\s|\Z)")
     _FAST = re.compile("[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
@@ -195,16 +198,30 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def _may(self, x: str) -> bool:
+        return bool(self.fast and self._FAST.fullmatch(x)) and not any(s in x for s in self.special)
+
     def _learn(self, x: str) -> bytes:
-        if self.fast and self._FAST.fullmatch(x) and not any(s in x for s in self.special):
-            return np.array(self.fast(x), dtype="<u4").tobytes()
-        return np.array(self.model.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.fast(x) if self._may(x) else self.model.encode(x, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _parts(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > self.PART and (found := self._CUT.search(text, at + self.PART)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:]
 
     def encode(self, text: str, end: int) -> np.ndarray:
         """The ids of a text, and `end` behind them."""
-        parts = self._CUT.split(text) if self._ODD.search(text) else text.split(" ")
-        ids = [self.heads[parts[0]], *map(self.tails.__getitem__, parts[1:]), end.to_bytes(4, "little")]
-        return np.frombuffer(b"".join(ids), dtype="<u4")
+        ids = []
+        for part in self._parts(text):
+            if self._may(part):
+                ids.append(np.array(self.fast(part), dtype="<u4").tobytes())
+                continue
+            words = self._CUT.split(part) if self._ODD.search(part) else part.split(" ")
+            ids += [self.heads[words[0]], *map(self.tails.__getitem__, words[1:])]
+        return np.frombuffer(b"".join([*ids, end.to_bytes(4, "little")]), dtype="<u4")
 
 
 _encoders: dict[tuple, Encoder] = {}

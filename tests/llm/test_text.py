@@ -50,6 +50,37 @@ def test_packer_is_exact(sizes, pool):
         assert at == 64 or at & (at - 1) == 0
 
 
+@pytest.fixture(scope="module")
+def coder():
+    return packing.Encoder(tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+def test_parts_of_new_words_are_encoded_at_once(coder, monkeypatch):
+    """A text of words never met takes one call for each part, not one for each word."""
+    calls, fast = [], coder.fast
+    monkeypatch.setattr(coder, "fast", lambda x: calls.append(x) or fast(x))
+    text = " ".join(f"neu{k}wörd" for k in range(5000))
+    got = coder.encode(text, 1)
+    assert "".join(calls) == text and len(calls) < 50 and max(map(len, calls)) < coder.PART + 20
+    assert got.tolist() == [*coder.model.encode(text, add_special_tokens=False).ids, 1]
+
+
+PARTS = st.sampled_from([" ", "  ", "\n", " \n ", "\t", "\r\n", "a", "Word", "it's", "é", "ß", "12", "3.5", "!?", "…", "漢字", "\u00a0", "\u2003", "\x0b", "\x1c", "\x85", "<|endoftext|>", "<|end", "'", "x" * 30])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PARTS, max_size=40), st.integers(1, 40))
+def test_parts_have_the_ids_of_the_text(coder, pieces, size):
+    text = "".join(pieces)
+    coder.PART = size
+    try:
+        got = coder.encode(text, 1)
+        assert "".join(coder._parts(text)) == text
+    finally:
+        del coder.PART
+    assert got.tolist() == [*coder.model.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_packing_query(spark):
     from tokenizers import Tokenizer
 
